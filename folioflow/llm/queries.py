@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm import warc
+
+    files = warc.write_archives(table(spark, sf_dir, "pages"), common.new_folder(spark, "warc"))
+    return warc.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm import pii
 
@@ -40,10 +47,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_token_binary": op3_token_binary,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) & 31) AS BIGINT), 1)"
+    for g in range(8)
+    for s in (15, 10, 5, 0)
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, sha1(x) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM m""",
+}
