@@ -46,12 +46,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_token_binary": op3_token_binary,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
+    "op10_additive_quantisation": op10_additive_quantisation,
 }
 
 _B32 = " || ".join(

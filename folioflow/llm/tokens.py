@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
 
 #: Distinct chunks that a worker remembers before it starts anew (bounds its memory to some 200 MB).
 CACHE = 800_000
+#: ASCII punctuation: after letters, a run of it is one piece of its own for the splitter.
+PUNCTUATION = string.punctuation
 _encoders: dict[str, Encoder] = {}
 
 
@@ -29,7 +32,7 @@ class Encoder:
 
     The vocabulary's normaliser and splitter work on each blank-separated chunk alone (blanks are dropped, no rule
     crosses a space or line end), so the ids of a text are those of its chunks in order. Chunks that are letters with
-    trailing full stops or commas share the ids of their letters; letter runs are encoded many at once and cut at
+    trailing punctuation share the ids of their letters; letter runs are encoded many at once and cut at
     word-end tokens. Whatever does not fit that pattern is encoded alone.
     """
 
@@ -51,33 +54,45 @@ class Encoder:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def letters(self, words: list[str]) -> list[bytes]:
+        """The ids of each run of letters."""
         out: list[bytes] = []
-        for a in range(0, len(words), 200):
-            some = words[a : a + 200]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some) and (not len(cut) or cut[-1] == len(ids)):
-                raw, w = ids.tobytes(), self.dtype.itemsize
-                at = [0, *(cut * w).tolist()]
-                out += [raw[at[i] : at[i + 1]] for i in range(len(some))]
-            else:
-                out += [self.one(x) for x in some]
+        groups = [words[a : a + 128] for a in range(0, len(words), 128)]
+        many = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        w = self.dtype.itemsize
+        for a in range(0, len(groups), 64):
+            made = many([" ".join(g) for g in groups[a : a + 64]], add_special_tokens=False)
+            for some, e in zip(groups[a : a + 64], made, strict=True):
+                ids = np.array(e.ids, self.dtype)
+                cut = np.flatnonzero(self.ends[ids]) + 1
+                if len(cut) == len(some) and cut[-1] == len(ids):
+                    raw, at = ids.tobytes(), [0, *(cut * w).tolist()]
+                    out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+                else:
+                    out += [self.one(x) for x in some]
         return out
 
     def learn(self, new: set[str]) -> None:
-        plain: dict[str, list[tuple[str, str]]] = {}
+        known = self.known
+        cores: dict[str, bytes] = {}
+        plain = []
         for w in new:
-            core = w.rstrip(".,")
+            core = w.rstrip(PUNCTUATION)
             if core.isalpha():
-                plain.setdefault(core, []).append((w, w[len(core) :]))
+                plain.append(w)
+                cores[core] = b""
+            else:
+                known[w] = self.one(w)
+        names = list(cores)
+        cores.update(zip(names, self.letters(names), strict=True))
+        for w in plain:
+            core = w.rstrip(PUNCTUATION)
+            if len(core) == len(w):
+                known[w] = cores[core]
             else:
-                self.known[w] = self.one(w)
-        cores = sorted(plain)
-        for core, ids in zip(cores, self.letters(cores), strict=True):
-            for w, tail in plain[core]:
-                if tail and tail not in self.known:
-                    self.known[tail] = self.one(tail)
-                self.known[w] = ids + self.known[tail] if tail else ids
+                tail = w[len(core) :]
+                if tail not in known:
+                    known[tail] = self.one(tail)
+                known[w] = cores[core] + known[tail]
 
     def ids(self, texts: list[str | None], last: int | None = None) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; last: an id to append to each."""
