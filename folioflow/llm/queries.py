@@ -33,6 +33,13 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_tokens(files)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm import toxicity
+
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm import packing
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
     "op3_token_binary": op3_token_binary,
+    "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
     "op10_additive_quantisation": op10_additive_quantisation,
