@@ -53,6 +53,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm import ngramjoin
+
+    return ngramjoin.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm import ann
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_additive_quantisation": op10_additive_quantisation,
 }
 

@@ -30,8 +30,6 @@ TOP = 5
 #: Labelled texts that the two numbers of the logistic curve are fitted on, at most (those with the smallest hashes).
 CURVE_ROWS = 20_000
 THRESHOLD = 0.3
-#: Bits of the filter that keeps unlabelled texts out of the join (it may let some pass; the join decides).
-FILTER_BITS = 1 << 23
 
 
 def fold(doc_id: Column) -> Column:
@@ -59,14 +57,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic (0/1) and fold of the labelled rows outside the held-out fold; a bitmap of label ids thins the join."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(fold(F.col("doc_id")) != 2)
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
-    bits = known.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_map"))
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    at = at.withColumn("_b", F.bitmap_bucket_number(h)).withColumn("_p", F.bitmap_bit_position(h))
-    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    one = F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), F.col("_p") % 8).cast("int")) != 0
-    thin = at.join(F.broadcast(bits), "_b").filter(one).select("doc_id", "text")
-    return thin.join(known, "doc_id").select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
+    return common.thin(at, known, "doc_id").join(known, "doc_id").select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
 
 
 def counts(train: DataFrame) -> DataFrame:
