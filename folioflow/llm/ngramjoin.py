@@ -111,15 +111,18 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared) -> Data
     need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = common.materialise(reps.join(need, "cid", "left_semi"), "join-wanted")
     texts = common.thin(docs.filter(F.col("doc_id").isNotNull()), wanted.filter(F.col("doc_id").isNotNull()), "doc_id")
-    found = texts.join(wanted, "doc_id")
+    found = texts.join(wanted, "doc_id").select("text", "cid")
+    nameless = docs.filter(F.col("doc_id").isNull()).select("text", F.lit(None).cast("long").alias("cid"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, some in common.text_chunks(b):
                 cids, frags, keys = [], [], []
                 for cid, s in zip(part.column(1).to_pylist(), ordered_sets(some, shared.value), strict=True):
-                    if class_id(s) != cid:  # another row with this doc_id
+                    own = class_id(s)
+                    if cid is not None and own != cid:  # another row with this doc_id
                         continue
+                    cid = own
                     at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << np.int64(57))
                     for k, x in enumerate(np.split(s, at)):
                         cids.append(cid)
@@ -127,7 +130,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared) -> Data
                         keys.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(frags, pa.int32()), pa.array(keys, pa.binary())], ["cid", "frag", "keys"])
 
-    segments = found.select("text", "cid").mapInArrow(cut, "cid long, frag int, keys binary").dropDuplicates(["cid", "frag"])
+    fragments = "cid long, frag int, keys binary"
+    late = nameless.mapInArrow(cut, fragments).join(need, "cid", "left_semi")
+    segments = found.mapInArrow(cut, fragments).unionByName(late).dropDuplicates(["cid", "frag"])
     segments = common.materialise(segments, "join-segments")
     side = lambda c: segments.select(F.col("cid").alias(c), "frag", F.col("keys").alias(f"k{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"])
