@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row whose doc_id names its component; rows that repeat it are copies, so one of them stays.
+    """Keeps the row whose doc_id names its component; of rows that repeat it with the same text one stays.
 
     Rows without a doc_id that are in no named component all stay (nothing says which are copies of which but their text:
     exact repeats of a text among them go).
@@ -31,12 +31,12 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     component = ngramjoin.components(docs).filter(F.col("doc_id").isNotNull()).select("doc_id", (F.col("doc_id") != F.col("component_id")).alias("copy"))
     gone = component.groupBy("doc_id").agg(F.min("copy").alias("copy")).filter("copy").select("doc_id")
     named = docs.filter(F.col("doc_id").isNotNull()).join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    # a doc_id that occurs once needs no sorting out; repeated ones keep their first text
+    # a doc_id that occurs once needs no sorting out; repeated ones keep one row of each text
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
     repeated = common.materialise(repeated, "repeated-ids")
     if repeated.limit(1).count():
         once = named.join(repeated, "doc_id", "left_anti").select(docs.columns)
-        again = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+        again = named.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
         named = once.unionByName(again)
     nameless = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
     return named.select(docs.columns).unionByName(nameless.select(docs.columns))
