@@ -1,13 +1,14 @@
 """Exact Jaccard self-join of word-shingle sets by vertical partitioning.
 
-All shingles stand in one global order (frequency level from a sketch of all documents, then hash), so that common ones
-come last. Equal sets are one class. A class's prefix (the first 30 per cent of its set in that order) is long enough that
-linked classes share a shingle in it, and that too few shared ones rule a link out.
-1. Leader rounds: of the classes that share a prefix shingle one leads; each class is verified against the leader with which
-   it shares most. These links join most near copies without listing the pairs of their groups.
-2. The rest: all pairs that share a prefix shingle and are not joined yet, thinned by exact bounds on length and difference.
-Verification cuts the global order into FRAGMENTS; partial overlaps of a pair are counted for each fragment on its own
-and summed. Shuffles carry hashes, not texts; texts of possible near copies are fetched once a round, by a thinned join.
+Equal sets are one class. All shingles stand in one global order (frequency level from a sketch of all documents, then
+hash), cut into fragments by hash; what a fragment says is counted on its own and summed.
+1. Sifting: in each fragment a shingle that only one class has is found; a class needs 75 per cent of its set shared, so
+   the sums over fragments drop most documents before anything else is shuffled. Repeated among the classes left.
+2. Leader rounds: of the classes that share a prefix shingle the one with the largest shared part leads; each class is
+   verified against the leader with which it shares most. These links join near copies without listing all their pairs.
+3. The rest: pairs that share a prefix shingle and are not joined yet, thinned by exact bounds on size and difference.
+The prefix (first 30 per cent of a set in the global order) is long enough that linked classes share a shingle in it.
+Verification counts partial overlaps of a pair for each fragment and sums them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SLOTS, ROW_SLOTS = 1 << 21, 1 << 12
 #: The global order is cut into this many fragments for counting overlaps.
 FRAGMENTS = 8
 LEADER_ROUNDS = 2
+#: Times that the sieve is repeated among the classes left.
+SIFT_ROUNDS = 2
 
 
 def shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -92,37 +95,126 @@ def prefix_length(n: int) -> int:
     return n - (70 * n + 99) // 100 + 1 if n else 0
 
 
-def profile(docs: DataFrame, shared) -> DataFrame:
-    """doc_id, n, cid and prefix of every document."""
+def raw_sets(texts: list[str | None]) -> list[np.ndarray]:
+    return [np.unique(h) for h in shingles(texts)]
+
+
+def name_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n and cid of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, texts in common.text_chunks(b):
-                sets = ordered_sets(texts, shared.value)
-                n = [len(s) for s in sets]
+                sets = raw_sets(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64())], ["doc_id", "n", "cid"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long")
+
+
+def shared_counts(texts: DataFrame) -> DataFrame:
+    """cid, n, s of texts (text): size of each set, and how many of its shingles another row has too.
+
+    Shingles travel as 32-bit prints in one blob for each chunk of texts and fragment; two that agree in print and fragment
+    by chance only make s larger, which keeps the sieve exact. Equal rows count as two.
+    """
+    parts = common.partitions(texts.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for _, some in common.text_chunks(b):
+                sets = raw_sets(some)
+                n = np.array([len(s) for s in sets], np.int64)
+                h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                doc = np.repeat(np.arange(len(sets)), n)
+                frag = (h % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(frag, kind="stable")
+                cuts = np.searchsorted(frag[order], np.arange(parts + 1))
+                prints, doc = ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], doc.astype(np.uint32)[order]
+                rows = [(chunk, -1, np.array([class_id(s) for s in sets], np.int64).tobytes(), n.tobytes())]
+                rows += [(chunk, f, prints[i:j].tobytes(), np.diff(doc[i:j], prepend=np.uint32(0)).astype(np.uint32).tobytes()) for f, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
+                chunk += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "frag", "x", "y"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
+        for b in batches:
+            heads = []
+            for chunk, frag, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if frag < 0:
+                    heads.append((chunk, frag, x, y))
+                else:
+                    held.setdefault(frag, []).append((chunk, x, y))
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*heads, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "frag", "x", "y"])
+        for frag in list(held):
+            blobs = held.pop(frag)
+            every = np.concatenate([np.frombuffer(x, np.uint32) for _, x, _ in blobs])
+            order = np.argsort(every, kind="stable")
+            same = np.diff(every[order]) == 0
+            shared = np.zeros(len(every), bool)
+            shared[order[1:][same]] = True
+            shared[order[:-1][same]] = True
+            rows, at = [], 0
+            for chunk, x, y in blobs:
+                m = len(x) // 4
+                doc = np.cumsum(np.frombuffer(y, np.uint32).astype(np.int64))
+                rows.append((chunk, frag, np.bincount(doc[shared[at : at + m]]).astype(np.uint32).tobytes(), b""))
+                at += m
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "frag", "x", "y"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[int, tuple[bytes, bytes]] = {}
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, frag, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if frag < 0:
+                    heads[chunk] = x, y
+                else:
+                    v = np.frombuffer(x, np.uint32).astype(np.int64)
+                    old = sums.get(chunk, np.zeros(0, np.int64))
+                    if len(old) < len(v):
+                        old, v = v, old
+                    old = old.copy()
+                    old[: len(v)] += v
+                    sums[chunk] = old
+        for chunk, (x, y) in heads.items():
+            cid, n = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            s = np.zeros(len(n), np.int64)
+            got = sums.get(chunk, s[:0])
+            s[: len(got)] = got
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), pa.array(s)], ["cid", "n", "s"])
+
+    kinds = "chunk long, frag int, x binary, y binary"
+    to = F.when(F.col("frag") < 0, F.pmod(F.col("chunk"), F.lit(parts)).cast("int")).otherwise(F.col("frag"))
+    fragments = texts.select("text").mapInArrow(cut, kinds).repartitionById(parts, to)
+    return fragments.mapInArrow(count, kinds).repartition(parts, "chunk").mapInArrow(add, "cid long, n long, s long")
+
+
+def profile(texts: DataFrame, shared) -> DataFrame:
+    """cid, n, s and prefix of each class of texts (cid, s, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, some in common.text_chunks(b):
+                sets = ordered_sets(some, shared.value)
                 prefix = pa.array([s[: prefix_length(len(s))] for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([class_id(s) for s in sets], pa.int64()), prefix], ["doc_id", "n", "cid", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), part.column(1), prefix], ["cid", "n", "s", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, prefix array<long>")
+    return texts.select("cid", "s", "text").mapInArrow(run, "cid long, n long, s long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     """Of pairs (a, na, b, nb) of classes those that link: partial overlaps by fragment, summed."""
     need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = common.materialise(reps.join(need, "cid", "left_semi"), "join-wanted")
-    texts = common.thin(docs.filter(F.col("doc_id").isNotNull()), wanted.filter(F.col("doc_id").isNotNull()), "doc_id")
-    found = texts.join(wanted, "doc_id").select("text", "cid")
-    nameless = docs.filter(F.col("doc_id").isNull()).select("text", F.lit(None).cast("long").alias("cid"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, some in common.text_chunks(b):
                 cids, frags, keys = [], [], []
-                for cid, s in zip(part.column(1).to_pylist(), ordered_sets(some, shared.value), strict=True):
-                    own = class_id(s)
-                    if cid is not None and own != cid:  # another row with this doc_id
-                        continue
-                    cid = own
+                for cid, s in zip(part.column(0).to_pylist(), ordered_sets(some, shared.value), strict=True):
                     at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << np.int64(57))
                     for k, x in enumerate(np.split(s, at)):
                         cids.append(cid)
@@ -130,9 +222,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared) -> Data
                         keys.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(frags, pa.int32()), pa.array(keys, pa.binary())], ["cid", "frag", "keys"])
 
-    fragments = "cid long, frag int, keys binary"
-    late = nameless.mapInArrow(cut, fragments).join(need, "cid", "left_semi")
-    segments = found.mapInArrow(cut, fragments).unionByName(late).dropDuplicates(["cid", "frag"])
+    segments = texts.select("cid", "text").join(need, "cid", "left_semi").mapInArrow(cut, "cid long, frag int, keys binary")
     segments = common.materialise(segments, "join-segments")
     side = lambda c: segments.select(F.col("cid").alias(c), "frag", F.col("keys").alias(f"k{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"])
@@ -147,29 +237,57 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shared) -> Data
     links = total.filter(100 * F.col("both") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
     out = common.materialise(links, "join-links")
     common.forget(segments)
-    common.forget(wanted)
     return out
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens (h, cid, n, pos, comp) of shingles whose classes are of two components or more."""
-    many = tokens.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n")).filter("x <> y").select("h")
-    return tokens.join(many.hint("merge"), "h", "left_semi")
+    """tokens (h, cid, n, s, pos, comp) of shingles whose classes are of two components or more, and may have a partner.
+
+    A partner of a class has at most 7/3 s - n shingles, as no more than s can be common to both.
+    """
+    room = F.floor(F.col("s") * 7 / 3 + 1e-9) - F.col("n")
+    most = F.max(room).alias("_room")
+    many = tokens.groupBy("h").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min("n").alias("_least"), most).filter("_x <> _y").select("h", "_least", "_room")
+    found = tokens.join(many.hint("merge"), "h")
+    return found.filter((F.col("_least") <= room) & (F.col("_room") >= F.col("n"))).select(tokens.columns)
 
 
-def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Of docs (doc_id, text): the documents (doc_id, n, cid) and the links (a, b) found between classes cid.
 
     The links suffice for the components; pairs that are already joined are not all listed.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = spark.sparkContext.broadcast(frequency_levels(docs))
-    known = common.materialise(profile(docs, shared), "join-profile")
-    reps = known.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    tokens = known.filter("n > 0").select("cid", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("comp", F.col("cid"))
-    tokens = common.materialise(shared_tokens(tokens).distinct(), "join-tokens")
+    known = common.materialise(name_sets(docs), "join-names")
+    enough = (F.col("n") > 0) & (100 * F.col("s") >= THRESHOLD * F.col("n"))
+    left = common.materialise(shared_counts(docs).filter(enough).select("cid").distinct(), "join-sieve")
+    reps = known.join(left, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    reps = common.materialise(reps, "join-reps")
+    texts = common.thin(docs.filter(F.col("doc_id").isNotNull()), reps.filter(F.col("doc_id").isNotNull()), "doc_id").join(reps, "doc_id").select("cid", "text")
+    nameless = docs.filter(F.col("doc_id").isNull()).withColumn("cid", F.lit(None).cast("long")).select("cid", "text")
+    wanted = reps.filter(F.col("doc_id").isNull()).select("cid")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, some in common.text_chunks(b):
+                own = [class_id(s) for s in raw_sets(some)]
+                keep = pa.array([c is None or c == o for c, o in zip(part.column(0).to_pylist(), own, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column(1)], ["cid", "text"]).filter(keep)
+
+    kinds = "cid long, text string"  # a doc_id that repeats may bring other texts: only those of the class stay
+    texts = texts.mapInArrow(check, kinds).unionByName(nameless.mapInArrow(check, kinds).join(wanted, "cid", "left_semi"))
+    texts = common.materialise(texts.dropDuplicates(["cid"]), "join-texts")
+    for _ in range(SIFT_ROUNDS):
+        again = common.materialise(shared_counts(texts).filter(enough).select("cid", "s"), "join-sieve")
+        old, texts = texts, common.materialise(texts.select("cid", "text").join(again, "cid"), "join-texts")
+        common.forget(old)
+    shared = spark.sparkContext.broadcast(frequency_levels(texts))
+    tokens = profile(texts, shared).select("cid", "n", "s", F.posexplode("prefix").alias("pos", "h")).withColumn("comp", F.col("cid"))
+    tokens = common.materialise(shared_tokens(tokens), "join-tokens")
     near = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
+    # two sets with s shared shingles each have no more in common than the smaller s
+    fits = lambda sa, na, sb, nb: 7 * F.least(sa, sb) >= 3 * (na + nb)
     links = None
     comps = None
 
@@ -180,20 +298,22 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return tokens.join(own, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
 
     for k in range(LEADER_ROUNDS):
-        live = shared_tokens(relabelled()) if k else tokens
-        # min_by a hash: another leader in each round
-        lead = live.groupBy("h").agg(F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("o"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias("l")).select("h", "l.a", "l.na", "l.ca")
-        pairs = live.join(lead, "h").filter((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")))
+        live = common.materialise(shared_tokens(relabelled()), "join-live") if k else tokens
+        order = F.struct(F.floor(F.col("s") * 200 / F.col("n")).alias("f"), F.xxhash64("cid", F.lit(k)).alias("o"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"))
+        lead = live.groupBy("h").agg(F.max(order).alias("l")).select("h", "l.a", "l.na", "l.sa", "l.ca")
+        pairs = live.join(lead, "h").filter((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")) & fits(F.col("s"), F.col("n"), F.col("sa"), F.col("na")))
         strong = pairs.groupBy("cid", "n", "a", "na").agg(F.count("*").alias("c")).filter(20 * F.col("c") >= F.least("n", "na") * 0.3)
         best = strong.groupBy("cid", "n").agg(F.max(F.struct("c", "a", "na")).alias("l")).select(F.col("l.a").alias("a"), F.col("l.na").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
         best = common.materialise(best, "join-pairs")
-        new = verified(best, docs, reps, shared)
+        new = verified(best, texts, shared)
         links = new if links is None else links.unionByName(new)
-        comps = common.materialise(graph.components(links), "join-components")
+        comps = graph.components(links)
+        if k:
+            common.forget(live)
     live = common.materialise(shared_tokens(relabelled()), "join-rest")
-    x = live.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    cross = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")))
+    x = live.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    y = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    cross = x.join(y, ["h"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")) & fits(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb")))
     pairs = cross.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # the most that linked sets of these sizes can differ by, and the least that these differ by: up to the end of the
     # prefix that ends first no other shingles are shared
@@ -202,10 +322,10 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     length = lambda n: n - F.floor((70 * n + 99) / 100) + 1
     differ = F.least(length(F.col("na")) + F.col("pb"), length(F.col("nb")) + F.col("pa")) + 1 - 2 * F.col("c")
     rest = common.materialise(pairs.filter(differ <= most).select("a", "na", "b", "nb"), "join-pairs")
-    new = verified(rest, docs, reps, shared)
-    for df in (tokens, live):
+    new = verified(rest, texts, shared)
+    for df in (tokens, live, texts):
         common.forget(df)
-    return known.select("doc_id", "n", "cid"), links.unionByName(new)
+    return known, links.unionByName(new)
 
 
 def components(docs: DataFrame) -> DataFrame:
