@@ -279,3 +279,47 @@ def json_ast_flatten(spark, sf_dir):
     nodes = interchange.flatten_json(ast)
     parts = F.array_sort(F.collect_list(F.when(F.col("tag") == "Str", F.struct("nid", "text"))))
     return nodes.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"), F.count("*").alias("nodes"))
+
+
+@query(f"""WITH s AS (SELECT page_id, {_BODY} AS b FROM pages)
+SELECT page_id, CAST(len(regexp_extract_all(b, '<a\\s[^>]*href=')) AS BIGINT) AS links, CAST(len(regexp_extract_all(b, '<h1>')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(b, '<li>')) AS BIGINT) AS items, CAST(len(regexp_extract_all(b, '<br>')) AS BIGINT) AS breaks FROM s""")
+def html_reader_counts(spark, sf_dir):
+    """The full HTML reader to interchange JSON and node rows; node counts by tag."""
+    from folioflow import engine
+    from folioflow.sources import interchange
+
+    p = engine.convert(read(spark, sf_dir, "pages"), "html", "json", key="page_id", text="html")
+    nodes = interchange.flatten_json(p.select(F.col("page_id").alias("doc_id"), F.col("output").alias("text")))
+    n = lambda t, name: F.count(F.when(F.col("tag") == t, 1)).alias(name)
+    lists = F.col("output")
+    items = engine.convert(read(spark, sf_dir, "pages"), "html", "markdown", key="page_id", text="html", wrap="none").select("page_id", F.size(F.regexp_extract_all(lists, F.lit(r"(?m)^- "), F.lit(0))).cast("long").alias("items"))
+    return nodes.groupBy(F.col("doc_id").alias("page_id")).agg(n("Link", "links"), n("Header", "headings"), n("LineBreak", "breaks")).join(items, "page_id")
+
+
+@query("""SELECT conv_id, turn, 1 AS ok FROM conversations""")
+def markdown_round_trip(spark, sf_dir):
+    """Texts written as Markdown and read back give the same plain text."""
+    from folioflow import engine
+
+    c = read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    a = engine.convert(c, "plain", "markdown", key="key", wrap="none")
+    b = engine.convert(a, "markdown", "plain", key="key", text="output", wrap="none")
+    d = engine.convert(c, "plain", "plain", key="key", wrap="none")
+    same = b.select("key", F.col("output").alias("x")).join(d.select("key", F.col("output").alias("y")), "key")
+    parts = F.split("key", ":")
+    return same.select(parts[0].cast("long").alias("conv_id"), parts[1].cast("long").alias("turn"), F.when(F.col("x") == F.col("y"), 1).otherwise(0).alias("ok"))
+
+
+def _written(target):
+    def f(spark, sf_dir):
+        from folioflow import engine
+
+        return engine.convert(read(spark, sf_dir, "pages"), "html", target, key="page_id", text="html").select("page_id", "output", "error")
+
+    f.__name__ = f"html_to_{target}"
+    f.__doc__ = f"Every page through the HTML reader and the {target} writer (checked by tests; SQL cannot express it)."
+    return f
+
+
+for _t in ("html", "html4", "plain", "commonmark", "commonmark_x", "gfm", "markdown", "markdown_github", "markdown_phpextra", "markdown_mmd", "markdown_strict", "latex", "rst", "mediawiki", "dokuwiki", "jira", "org", "asciidoc", "man", "typst", "json", "native", "opml", "ipynb"):
+    QUERIES[f"html_to_{_t}"] = _written(_t)
