@@ -179,6 +179,9 @@ class Template:
         """The template as an expression over columns: strings, booleans and arrays of strings (for loops)."""
         return self._column(self.nodes, context, partials, 0)
 
+    def _item(self, n: Node, name: str, context: dict[str, Column], partials, depth: int) -> Callable[[Column], Column]:
+        return lambda x: self._column(n.body, {**context, "it": x, name: x}, partials, depth)
+
     def _column(self, nodes: list[Node], context: dict[str, Column], partials, depth: int) -> Column:
         if depth > DEPTH:
             raise TemplateError("partials nest too deeply")
@@ -207,7 +210,7 @@ class Template:
                 if c is None:
                     continue
                 name = n.path[-1]
-                body = F.transform(c, lambda x, n=n, name=name: self._column(n.body, {**context, "it": x, name: x}, partials, depth))
+                body = F.transform(c, self._item(n, name, context, partials, depth))
                 sep = "".join(s.text for s in n.sep)
                 parts.append(F.coalesce(F.array_join(body, sep), F.lit("")))
             else:

@@ -54,12 +54,13 @@ def tree(text: str) -> Element:
         if tag in ENDS_P and stack[-1].tag == "p":
             stack.pop()
         if tag in SAME:
+            ended = len(stack)
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in STOP[tag]:
                     break
                 if stack[k].tag in SAME[tag]:
-                    del stack[k:]
-                    break
+                    ended = k
+            del stack[ended:]
         at = {k.lower(): entities.unescape(v[1:-1] if v[:1] in "\"'" and v else v) for k, v in reversed(ATTR.findall(m[3]))}
         e = Element(tag, at)
         stack[-1].kids.append(e)
