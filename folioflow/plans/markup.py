@@ -323,3 +323,54 @@ def _written(target):
 
 for _t in ("html", "html4", "plain", "commonmark", "commonmark_x", "gfm", "markdown", "markdown_github", "markdown_phpextra", "markdown_mmd", "markdown_strict", "latex", "rst", "mediawiki", "dokuwiki", "jira", "org", "asciidoc", "man", "typst", "json", "native", "opml", "ipynb"):
     QUERIES[f"html_to_{_t}"] = _written(_t)
+
+
+def _packed(kind):
+    def f(spark, sf_dir):
+        from folioflow import engine
+        from folioflow.sources import packages
+
+        pages = read(spark, sf_dir, "pages")
+        docs = engine.convert(pages, "html", "json", key="page_id", text="html").select("page_id", F.col("output").alias("text"))
+        back = packages.unpack(packages.pack(docs, kind, key="page_id"), kind, key="page_id").select("page_id", "text")
+        words = lambda d: engine.convert(d, "json", "plain", key="page_id", wrap="none").select("page_id", F.regexp_replace(F.lower("output"), r"[^\p{L}]+", " ").alias("w"))
+        both = words(docs).withColumnRenamed("w", "a").join(words(back).withColumnRenamed("w", "b"), "page_id")
+        return both.select("page_id", F.when(F.trim("a") == F.trim("b"), 1).otherwise(0).alias("ok"))
+
+    f.__name__ = f"{kind}_round_trip"
+    f.__doc__ = f"Every page packed as {kind} and unpacked: the words stay."
+    return f
+
+
+for _k in ("epub", "docx", "odt", "rtf"):
+    QUERIES[f"{_k}_round_trip"] = _packed(_k)
+    ORACLE_SQL[f"{_k}_round_trip"] = "SELECT page_id, 1 AS ok FROM pages"
+
+
+@query("""SELECT turn, CAST(count(*) AS BIGINT) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY turn""")
+def highlight_keywords(spark, sf_dir):
+    """Texts as toy code through the highlighter: its tokens make up the text again."""
+    from folioflow.operators import highlight
+
+    c = read(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    t = highlight.tokens(c, "python", key="key")
+    chars = t.groupBy("key").agg(F.sum(F.length("text")).alias("n"), F.max("line").alias("ends"))
+    lines = c.select("key", "turn", (F.size(F.split("text", "\n")) - 1).alias("breaks"))
+    return lines.join(chars, "key", "left").groupBy("turn").agg(F.count("*").alias("texts"), F.sum(F.coalesce("n", F.lit(0)) + F.col("breaks")).cast("long").alias("chars"))
+
+
+@query("""SELECT page_id, url LIKE 'http%' AS remote, sha1(url) || '.png' AS path FROM pages""")
+def media_paths(spark, sf_dir):
+    from folioflow.operators import media
+
+    m = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("name"), F.lit("image/png").alias("mime"), F.col("url").cast("binary").alias("bytes"))
+    return media.content_addressed(m).select("page_id", F.startswith("name", F.lit("http")).alias("remote"), "path")
+
+
+@query("""SELECT doc_id, text AS payload FROM documents""")
+def data_uri_decode(spark, sf_dir):
+    """Every document as a data address and back."""
+    from folioflow.operators import media
+
+    u = read(spark, sf_dir, "documents").select("doc_id", T.data_uri(F.lit("text/plain"), F.col("text").cast("binary")).alias("url"))
+    return media.from_data_uris(u).select("doc_id", F.col("bytes").cast("string").alias("payload"))

@@ -86,6 +86,7 @@ class Reader:
         self.ids: dict[str, int] = {}
         self.headings: dict[str, str] = {}
         self.open_notes: set[str] = set()
+        self.item_depth = 0
         self.fenced = "fenced_code_blocks" in ext or "backtick_code_blocks" in ext or not greedy
 
     def has(self, name: str) -> bool:
@@ -244,7 +245,7 @@ class Reader:
             return True
         if re.match(r" {0,3}>", line) and not (para and self.has("blank_before_blockquote")):
             return True
-        if self.greedy and para and not self.has("lists_without_preceding_blankline"):
+        if self.greedy and para and not self.item_depth and not self.has("lists_without_preceding_blankline"):
             return False
         b = BULLET.match(line)
         if b and (b[4].strip() or not para):
@@ -354,7 +355,9 @@ class Reader:
                 j += 1
         parsed = []
         for item in items:
+            self.item_depth += 1
             blocks = self.blocks(item)
+            self.item_depth -= 1
             if len(blocks) > 1 and self._loose(item):
                 loose = True
             parsed.append(blocks)

@@ -181,18 +181,18 @@ JIRA = Notation(
     heading=R(r"h([1-6])\.\s+(.*)$"), level=int, lists=R(r"([*#-]+)\s+(.*)$"), ordered=lambda p: p[-1] == "#", depth=len,
     fences=[(R(r"\{code(?::(\w+))?[^}]*\}"), R(r"\{code\}"), "code"), (R(r"\{noformat()\}"), R(r"\{noformat\}"), "code"), (R(r"\{quote()\}"), R(r"\{quote\}"), "quote")],
     row=R(r"\|"), head=lambda s: s.startswith("||"), cells=lambda s: re.split(r"\|\|?", s.strip())[1:-1],
-    inline=[(R(r"\*(\S(?:.*?\S)?)\*(?!\w)"), span("Strong")), (R(r"(?<!\w)_(\S(?:.*?\S)?)_(?!\w)"), span("Emph")), (R(r"\{\{(.+?)\}\}"), code()), (R(r"(?<!\w)-(\S(?:.*?\S)?)-(?!\w)"), span("Strikeout")), (R(r"\+(\S(?:.*?\S)?)\+(?!\w)"), span("Underline")), (R(r"\^(.+?)\^"), span("Superscript")), (R(r"~(.+?)~"), span("Subscript")), (R(r"\[([^|\]]+)\|([^\]]+)\]"), lambda n, m: node("Link", [NO_ATTR, n.inlines(m[1]), [m[2], ""]])), (R(r"\[(\w+:[^\]]+)\]"), link(1)), (R(r"!([^!\s|]+)(?:\|[^!]*)?!"), image(1)), (R(r"\\\\"), lambda n, m: node("LineBreak")), (URL, link(1))],
+    inline=[(R(r"\*(\S(?:.*?\S)??)\*(?!\w)"), span("Strong")), (R(r"(?<!\w)_(\S(?:.*?\S)??)_(?!\w)"), span("Emph")), (R(r"\{\{(.+?)\}\}"), code()), (R(r"(?<!\w)-(\S(?:.*?\S)??)-(?!\w)"), span("Strikeout")), (R(r"\+(\S(?:.*?\S)??)\+(?!\w)"), span("Underline")), (R(r"\^(.+?)\^"), span("Superscript")), (R(r"~(.+?)~"), span("Subscript")), (R(r"\[([^|\]]+)\|([^\]]+)\]"), lambda n, m: node("Link", [NO_ATTR, n.inlines(m[1]), [m[2], ""]])), (R(r"\[(\w+:[^\]]+)\]"), link(1)), (R(r"!([^!\s|]+)(?:\|[^!]*)?!"), image(1)), (R(r"\\\\"), lambda n, m: node("LineBreak")), (URL, link(1))],
 )
 ORG = Notation(
     heading=R(r"(\*+)\s+(.*)$"), level=len, lists=R(r"(\s*(?:[-+]|\d+[.)]))\s+(.*)$"), ordered=lambda p: p.strip()[0].isdigit(), depth=lambda p: len(p) - len(p.lstrip()),
     fences=[(R(r"#\+begin_src\s*(\S*).*$", re.I), R(r"(?i)^\s*#\+end_src"), "code"), (R(r"#\+begin_example()", re.I), R(r"(?i)^\s*#\+end_example"), "code"), (R(r"#\+begin_quote()", re.I), R(r"(?i)^\s*#\+end_quote"), "quote")],
     rule=R(r"-{5,}\s*$"), row=R(r"\s*\|"), head=lambda s: True, cells=lambda s: [] if re.match(r"\s*\|-", s) else s.strip().strip("|").split("|"), skip=R(r"\s*(?:#\+\w+:|:\w+:|# )"),
-    inline=[(R(r"\[\[([^\]]+)\](?:\[([^\]]*)\])?\]"), link(1, 2)), (R(r"(?<!\w)\*(\S(?:.*?\S)?)\*(?!\w)", re.S), span("Strong")), (R(r"(?<!\w)/(\S(?:.*?\S)?)/(?!\w)", re.S), span("Emph")), (R(r"(?<!\w)_(\S(?:.*?\S)?)_(?!\w)"), span("Underline")), (R(r"(?<!\w)\+(\S(?:.*?\S)?)\+(?!\w)"), span("Strikeout")), (R(r"(?<!\w)[=~](\S(?:.*?\S)?)[=~](?!\w)"), code()), (R(r"\\\((.*?)\\\)"), math()), (R(r"\\\[(.*?)\\\]", re.S), math(1, "DisplayMath")), (R(r"\^\{(.*?)\}"), span("Superscript")), (R(r"_\{(.*?)\}"), span("Subscript")), (URL, link(1))],
+    inline=[(R(r"\[\[([^\]]+)\](?:\[([^\]]*)\])?\]"), link(1, 2)), (R(r"(?<!\w)\*(\S(?:.*?\S)??)\*(?!\w)", re.S), span("Strong")), (R(r"(?<!\w)/(\S(?:.*?\S)??)/(?!\w)", re.S), span("Emph")), (R(r"(?<!\w)_(\S(?:.*?\S)??)_(?!\w)"), span("Underline")), (R(r"(?<!\w)\+(\S(?:.*?\S)??)\+(?!\w)"), span("Strikeout")), (R(r"(?<!\w)[=~](\S(?:.*?\S)??)[=~](?!\w)"), code()), (R(r"\\\((.*?)\\\)"), math()), (R(r"\\\[(.*?)\\\]", re.S), math(1, "DisplayMath")), (R(r"\^\{(.*?)\}"), span("Superscript")), (R(r"_\{(.*?)\}"), span("Subscript")), (URL, link(1))],
 )
 RST = Notation(
     heading=R(r"\x00(\d)(.*)$"), level=int, lists=R(r"(\s*(?:[*+-]|(?:\d+|#)[.)]))\s+(.*)$"), ordered=lambda p: p.strip()[0] not in "*+-", depth=lambda p: len(p) - len(p.lstrip()),
     fences=[(R(r"\x01(\w*)"), R(r"^\x02"), "code")], rule=R(r"-{4,}\s*$"),
-    inline=[(R(r"\*\*(.+?)\*\*", re.S), span("Strong")), (R(r"\*(\S(?:.*?\S)?)\*", re.S), span("Emph")), (R(r"``(.+?)``", re.S), code()), (R(r":math:`(.+?)`"), math()), (R(r":sup:`(.+?)`"), span("Superscript")), (R(r":sub:`(.+?)`"), span("Subscript")), (R(r"`([^`<]*?)\s*<([^>`]+)>`__?"), lambda n, m: node("Link", [NO_ATTR, n.inlines(m[1]), [m[2], ""]])), (R(r"\\(.)"), lambda n, m: node("Str", m[1]) if m[1] != " " else []), (URL, link(1))],
+    inline=[(R(r"\*\*(.+?)\*\*", re.S), span("Strong")), (R(r"\*(\S(?:.*?\S)??)\*", re.S), span("Emph")), (R(r"``(.+?)``", re.S), code()), (R(r":math:`(.+?)`"), math()), (R(r":sup:`(.+?)`"), span("Superscript")), (R(r":sub:`(.+?)`"), span("Subscript")), (R(r"`([^`<]*?)\s*<([^>`]+)>`__?"), lambda n, m: node("Link", [NO_ATTR, n.inlines(m[1]), [m[2], ""]])), (R(r"\\(.)"), lambda n, m: node("Str", m[1]) if m[1] != " " else []), (URL, link(1))],
 )
 
 

@@ -240,3 +240,77 @@ def test_streaming(spark, tmp_path):
     q = stream.convert_stream(spark, src, "doc_id long, text string", "commonmark", "html").writeStream.format("memory").queryName("conv").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.output for r in spark.table("conv").collect()) == ["<h1>b</h1>", "<p><em>a</em></p>"]
+
+
+WIKI = {
+    "mediawiki": "== H ==\n'''b''' ''i'' [http://a l] <code>c</code>\n\n* a\n** b\n* c\n",
+    "dokuwiki": "===== H =====\n**b** //i// [[http://a|l]] ''c''\n\n  * a\n    * b\n  * c\n",
+    "jira": "h2. H\n*b* _i_ [l|http://a] {{c}}\n\n* a\n** b\n* c\n",
+    "org": "** H\n*b* /i/ [[http://a][l]] =c=\n\n- a\n  - b\n- c\n",
+    "latex": "\\subsection{H}\\textbf{b} \\emph{i} \\href{http://a}{l} \\texttt{c}\n\\begin{itemize}\\item a \\begin{itemize}\\item b\\end{itemize}\\item c\\end{itemize}",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WIKI))
+def test_wiki_readers_agree(name):
+    assert engine.convert_text(WIKI[name], name, "commonmark") == "## H\n\n**b** *i* [l](http://a) `c`\n\n- a\n  - b\n- c"
+
+
+@pytest.mark.parametrize("name", ["mediawiki", "dokuwiki", "jira", "org", "latex", "rst", "html", "commonmark", "markdown"])
+def test_write_then_read_keeps_the_words(name):
+    rng = random.Random(7)
+    for _ in range(25):
+        words = ["w%d" % rng.randrange(99) for _ in range(rng.randrange(2, 30))]
+        doc = ast.document([ast.node("Header", [2, ast.attr(), ast.text_inlines("some head")]), ast.node("Para", [ast.node("Strong", ast.text_inlines(words[0])), ast.node("Space"), *ast.text_inlines(" ".join(words[1:]))]), ast.node("BulletList", [[ast.node("Plain", ast.text_inlines(w))] for w in words[:3]])])
+        again = engine.reader(name)(writers.write(doc, name, wrap="none"))
+        texts = lambda d: "".join(n["c"] for n in ast.walk(d["blocks"]) if n["t"] == "Str")
+        assert texts(again) == texts(doc)
+
+
+def test_packages_are_deterministic_and_round_trip():
+    from folioflow.sources import packages
+
+    doc = markdown.read("# H\n\nA **b** *i* `c` [l](http://u/ü) é😀 {x} \\\\\n\n- a\n\n1. x\n\n| a | b |\n|--|--|\n| 1 | 2 |\n")
+    texts = lambda d: "".join(ast.plain([n]) for n in ast.walk(d["blocks"]) if n["t"] in ("Str", "Code"))
+    for kind, write in packages.WRITERS.items():
+        made = write(doc)
+        assert made == write(doc)
+        assert texts(packages.READERS[kind](made)).replace("•", "").replace("1.x", "x") == texts(doc), kind
+    assert packages.zip_read(packages.zip_write([("a", b"x" * 1000), ("b", b"")])) == {"a": b"x" * 1000, "b": b""}
+
+
+def test_highlighter_keeps_the_code():
+    from folioflow.operators import highlight
+
+    code = 'def f(x):  # c\n    """doc\n    more"""\n    return "s\\n" + 0x1f + 1.5e3\n'
+    lines = highlight.highlight("py", code)
+    assert "\n".join("".join(t for _, t in line) for line in lines) == code
+    assert ("Keyword", "def") in lines[0] and lines[2][0][0] == "VerbatimString"
+    assert highlight.highlight("nope", code) is None
+    for name in highlight.GRAMMARS:
+        assert "\n".join("".join(t for _, t in line) for line in highlight.highlight(name, code)) == code
+    assert len(highlight.KINDS) == 31 and "span.kw" in highlight.theme_css()
+
+
+def test_formulas():
+    from folioflow.operators import mathtex
+
+    m = mathtex.to_mathml
+    assert "<mfrac><mi>a</mi><mi>b</mi></mfrac>" in m(r"\frac{a}{b}")
+    assert "<munderover><mo>∑</mo>" in m(r"\sum_{i=1}^n", True) and "<msubsup>" in m(r"\sum_{i=1}^n")
+    assert m(r"\left(\begin{matrix}1&2\\3&4\end{matrix}\right)").count("<mtd>") == 4
+    assert "<mroot>" in m(r"\sqrt[3]{x}") and m(r"\nope") is None and m("a^b^c") is None and m("{") is None
+    assert [n["t"] for n in mathtex.to_inlines("x^2")] == ["Emph", "Superscript"] and mathtex.to_inlines(r"\frac12") is None
+
+
+def test_media(spark):
+    from folioflow.operators import media
+
+    items = spark.createDataFrame([("a.png", "image/png", b"1"), ("../x", "image/gif", b"2"), ("http://u", "text/plain", b"3")], "name string, mime string, bytes binary")
+    by = {r["name"]: r.path for r in media.content_addressed(items).collect()}
+    assert by["a.png"] == "a.png" and by["../x"].endswith(".gif") and len(by["http://u"]) == 46
+    links = spark.createDataFrame([("a.png",), ("b.png",), ("http://z",)], "url string")
+    assert {r.url for r in media.rewrite(links, media.content_addressed(items), "m/").collect()} == {"m/a.png", "b.png", "http://z"}
+    assert [r.url for r in media.missing(links, items).collect()] == ["b.png"]
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\x01\x02\0\0\0\x07"
+    assert tuple(media.image_size(spark.createDataFrame([(png,)], "bytes binary")).select("width", "height").first()) == (258, 7)
