@@ -17,7 +17,7 @@ _IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[ -]?[0-9])++"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
-_NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_NATIONAL = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 
 BASE = ("email", "ip", "card", "phone")
 KINDS: tuple[tuple[str, str, str, float, str], ...] = (

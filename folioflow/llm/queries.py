@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import common
+from folioflow.llm.oracles import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,8 @@ def op10_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), 100)
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -89,20 +92,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_additive_quantisation": op10_additive_quantisation,
 }
-
-_B32 = " || ".join(
-    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {s}) & 31) AS BIGINT), 1)"
-    for g in range(8)
-    for s in (15, 10, 5, 0)
-)
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_warc": f"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
-d AS (SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, sha1(x) AS h FROM p),
-m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
-SELECT page_id, payload_bytes, {_B32} AS payload_digest,
-       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
-FROM m""",
-}
