@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioflow.llm import common, graph
 
 WORDS, THRESHOLD = 5, 75  # shingle length, similarity in hundredths
 #: Counters of the frequency sketch (one byte each is broadcast) and the counters of one shuffled row.
 SLOTS, ROW_SLOTS = 1 << 21, 1 << 12
-#: The global order is cut into this many fragments for counting overlaps.
-FRAGMENTS = 8
+#: The global order is cut into this many fragments for counting overlaps; sets of at most WHOLE shingles are one fragment.
+FRAGMENTS, WHOLE = 8, 4096
 LEADER_ROUNDS = 2
 #: Times that the sieve is repeated among the classes left.
 SIFT_ROUNDS = 2
@@ -215,17 +216,23 @@ def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
             for part, some in common.text_chunks(b):
                 cids, frags, keys = [], [], []
                 for cid, s in zip(part.column(0).to_pylist(), ordered_sets(some, shared.value), strict=True):
-                    at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << np.int64(57))
-                    for k, x in enumerate(np.split(s, at)):
+                    if len(s) <= WHOLE:
                         cids.append(cid)
-                        frags.append(k)
-                        keys.append(x.tobytes())
+                        frags.append(-1)
+                        keys.append(s.tobytes())
+                    if 100 * len(s) > THRESHOLD * WHOLE:  # it may be paired with a set that is cut
+                        at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << np.int64(57))
+                        for k, x in enumerate(np.split(s, at)):
+                            cids.append(cid)
+                            frags.append(k)
+                            keys.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(frags, pa.int32()), pa.array(keys, pa.binary())], ["cid", "frag", "keys"])
 
     segments = texts.select("cid", "text").join(need, "cid", "left_semi").mapInArrow(cut, "cid long, frag int, keys binary")
     segments = common.materialise(segments, "join-segments")
     side = lambda c: segments.select(F.col("cid").alias(c), "frag", F.col("keys").alias(f"k{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"])
+    whole = F.greatest("na", "nb") <= WHOLE
+    both = pairs.join(side("a"), "a").filter(whole == (F.col("frag") < 0)).join(side("b"), ["b", "frag"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,6 +247,32 @@ def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return out
 
 
+def plausible(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """Pairs (a, na, b, nb) less those whose prefixes already differ by more than linked sets of their sizes can.
+
+    Up to the end of the prefix that ends first both sets are known, so what differs there differs for good.
+    """
+    need = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    known = common.materialise(profile(texts.join(need, "cid", "left_semi"), shared).select("cid", "prefix"), "join-prefixes")
+    both = pairs.join(known.select(F.col("cid").alias("a"), F.col("prefix").alias("pa")), "a").join(known.select(F.col("cid").alias("b"), F.col("prefix").alias("pb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(1).to_numpy(), b.column(3).to_numpy()
+            most = na + nb - 2 * -(-(na + nb) * THRESHOLD // (100 + THRESHOLD))
+            keep = []
+            for k, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                end = min(x[-1], y[-1])
+                i, j = np.searchsorted(x, end, "right"), np.searchsorted(y, end, "right")
+                keep.append(i + j - 2 * len(np.intersect1d(x[:i], y[:j], assume_unique=True)) <= most[k])
+            yield pa.RecordBatch.from_arrays(b.columns[:4], ["a", "na", "b", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    out = common.materialise(both.select("a", "na", "b", "nb", "pa", "pb").mapInArrow(run, "a long, na long, b long, nb long"), "join-plausible")
+    common.forget(known)
+    return out
+
+
 def shared_tokens(tokens: DataFrame) -> DataFrame:
     """tokens (h, cid, n, s, pos, comp) of shingles whose classes are of two components or more, and may have a partner.
 
@@ -283,8 +316,10 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         old, texts = texts, common.materialise(texts.select("cid", "text").join(again, "cid"), "join-texts")
         common.forget(old)
     shared = spark.sparkContext.broadcast(frequency_levels(texts))
-    tokens = profile(texts, shared).select("cid", "n", "s", F.posexplode("prefix").alias("pos", "h")).withColumn("comp", F.col("cid"))
-    tokens = common.materialise(shared_tokens(tokens), "join-tokens")
+    tokens = profile(texts, shared).select("cid", "n", "s", F.explode("prefix").alias("h")).withColumn("comp", F.col("cid"))
+    before = Window.partitionBy("cid").orderBy("h")
+    tokens = shared_tokens(tokens).withColumn("rank", F.row_number().over(before) - 1)
+    tokens = common.materialise(tokens, "join-tokens")
     near = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
     # two sets with s shared shingles each have no more in common than the smaller s
     fits = lambda sa, na, sb, nb: 7 * F.least(sa, sb) >= 3 * (na + nb)
@@ -311,17 +346,14 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         if k:
             common.forget(live)
     live = common.materialise(shared_tokens(relabelled()), "join-rest")
-    x = live.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    # the first shingle that two sets share: what they share with others before it they do not share with each other, so
+    # they have no more in common than the smaller rest; linked pairs therefore pass the bound at that shingle
+    rest = F.col("s") - F.col("rank")
+    x = live.select("h", F.col("cid").alias("a"), F.col("n").alias("na"), rest.alias("sa"), F.col("comp").alias("ca"))
+    y = live.select("h", F.col("cid").alias("b"), F.col("n").alias("nb"), rest.alias("sb"), F.col("comp").alias("cb"))
     cross = x.join(y, ["h"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")) & fits(F.col("sa"), F.col("na"), F.col("sb"), F.col("nb")))
-    pairs = cross.groupBy("a", "na", "b", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    # the most that linked sets of these sizes can differ by, and the least that these differ by: up to the end of the
-    # prefix that ends first no other shingles are shared
-    least_common = F.ceil((F.col("na") + F.col("nb")) * F.lit(THRESHOLD) / F.lit(100 + THRESHOLD) - 1e-9)
-    most = F.col("na") + F.col("nb") - 2 * least_common
-    length = lambda n: n - F.floor((70 * n + 99) / 100) + 1
-    differ = F.least(length(F.col("na")) + F.col("pb"), length(F.col("nb")) + F.col("pa")) + 1 - 2 * F.col("c")
-    rest = common.materialise(pairs.filter(differ <= most).select("a", "na", "b", "nb"), "join-pairs")
+    pairs = common.materialise(cross.select("a", "na", "b", "nb").distinct(), "join-pairs")
+    rest = plausible(pairs, texts, shared)
     new = verified(rest, texts, shared)
     for df in (tokens, live, texts):
         common.forget(df)
