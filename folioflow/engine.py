@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from folioflow.operators import options
 from folioflow.sources import ast, delimited, html, markdown, wiki
+from folioflow.writers import native
 from folioflow.writers import text as writers
 
 
@@ -74,7 +75,7 @@ def _ipynb(s: str) -> dict[str, Any]:
     return ast.document(out)
 
 
-READERS: dict[str, Callable[[str], dict[str, Any]]] = {"html": html.read, "csv": _delimited(",", True), "tsv": _delimited("\t", False), "json": _json, "plain": _plain, "opml": _opml, "ipynb": _ipynb, **wiki.READERS}
+READERS: dict[str, Callable[[str], dict[str, Any]]] = {"html": html.read, "csv": _delimited(",", True), "tsv": _delimited("\t", False), "json": _json, "plain": _plain, "opml": _opml, "ipynb": _ipynb, "native": native.read, **wiki.READERS}
 
 
 def reader(spec: str) -> Callable[[str], dict[str, Any]]:

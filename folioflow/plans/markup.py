@@ -321,7 +321,7 @@ def _written(target):
     return f
 
 
-for _t in ("html", "html4", "plain", "commonmark", "commonmark_x", "gfm", "markdown", "markdown_github", "markdown_phpextra", "markdown_mmd", "markdown_strict", "latex", "rst", "mediawiki", "dokuwiki", "jira", "org", "asciidoc", "man", "typst", "json", "native", "opml", "ipynb"):
+for _t in ("html", "html4", "plain", "commonmark", "commonmark_x", "gfm", "markdown", "markdown_github", "markdown_phpextra", "markdown_mmd", "markdown_strict", "latex", "rst", "mediawiki", "dokuwiki", "jira", "org", "asciidoc", "man", "typst", "json", "native", "opml", "ipynb", "beamer", "revealjs"):
     QUERIES[f"html_to_{_t}"] = _written(_t)
 
 

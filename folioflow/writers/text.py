@@ -1177,31 +1177,6 @@ def opml(doc: dict[str, Any]) -> str:
     return "\n".join([*out, *["</outline>"] * len(open_levels), "</body>", "</opml>"])
 
 
-def native(doc: dict[str, Any]) -> str:
-    """Constructor syntax, one block a line."""
-
-    def show(x: Any) -> str:
-        if isinstance(x, dict):
-            if "t" not in x:
-                return "[" + ", ".join(f"({json.dumps(k)}, {show(v)})" for k, v in x.items()) + "]"
-            c = x.get("c")
-            if c is None:
-                return x["t"]
-            parts = c if isinstance(c, list) and x["t"] in PRODUCT else [c]
-            return x["t"] + " " + " ".join(f"({s})" if " " in s and s[0] not in "[(\"" else s for s in map(show, parts))
-        if isinstance(x, list):
-            tuple_like = len(x) in (2, 3) and not all(isinstance(v, dict) for v in x) and not (all(isinstance(v, list) for v in x))
-            inner = ", ".join(map(show, x))
-            return f"({inner})" if tuple_like or (len(x) == 3 and isinstance(x[0], str)) else f"[{inner}]"
-        return "Nothing" if x is None else json.dumps(x, ensure_ascii=False)
-
-    return "[ " + "\n, ".join(show(b) for b in doc["blocks"]) + "\n]" if doc["blocks"] else "[]"
-
-
-#: Nodes whose payload is a list of separate fields.
-PRODUCT = frozenset("Header CodeBlock RawBlock OrderedList Table Figure Div Quoted Cite Code Math RawInline Link Image Span".split())
-
-
 def ipynb(doc: dict[str, Any]) -> str:
     """Code blocks become code cells, everything between them Markdown cells."""
     cells: list[dict[str, Any]] = []
@@ -1225,7 +1200,7 @@ def ipynb(doc: dict[str, Any]) -> str:
 
 CLASSES: dict[str, type[Writer]] = {"plain": Writer, "html": Html, "html5": Html, "html4": Html4, "latex": Latex, "rst": Rst, "mediawiki": MediaWiki, "dokuwiki": DokuWiki, "jira": Jira, "org": Org, "asciidoc": AsciiDoc, "man": Man, "typst": Typst}
 MARKDOWN = ("commonmark", "commonmark_x", "gfm", "markdown", "markdown_github", "markdown_phpextra", "markdown_mmd", "markdown_strict")
-FORMATS = sorted([*CLASSES, *MARKDOWN, "json", "native", "opml", "ipynb"])
+FORMATS = sorted([*CLASSES, *MARKDOWN, "json", "native", "opml", "ipynb", "beamer", "revealjs"])
 
 
 def write(doc: dict[str, Any], to: str, wrap: str = "auto", columns: int = 72) -> str:
@@ -1233,8 +1208,12 @@ def write(doc: dict[str, Any], to: str, wrap: str = "auto", columns: int = 72) -
     base, ext = options.parse_spec(to, writing=True)
     if base == "json":
         return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
-    if base in ("native", "opml", "ipynb"):
-        return {"native": native, "opml": opml, "ipynb": ipynb}[base](doc)
+    if base in ("opml", "ipynb"):
+        return {"opml": opml, "ipynb": ipynb}[base](doc)
+    if base in ("native", "beamer", "revealjs"):
+        from folioflow.writers import native, slides
+
+        return {"native": native.write, "beamer": slides.beamer, "revealjs": slides.revealjs}[base](doc)
     if base in MARKDOWN:
         return Markdown(wrap, columns, ext).document(doc)
     if base not in CLASSES:

@@ -314,3 +314,32 @@ def test_media(spark):
     assert [r.url for r in media.missing(links, items).collect()] == ["b.png"]
     png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0\x01\x02\0\0\0\x07"
     assert tuple(media.image_size(spark.createDataFrame([(png,)], "bytes binary")).select("width", "height").first()) == (258, 7)
+
+
+def test_constructor_syntax_round_trip():
+    from folioflow.writers import native
+
+    rng = random.Random(9)
+    for _ in range(60):
+        doc = ast.document(random_blocks(rng))
+        assert native.read(native.write(doc)) == doc
+    rich = markdown.read("| a | b |\n|--|:-:|\n| 1 | *2* |\n\nT\n:   D\n\nx[^1] \"q\" $m$ ![i](u)\n\n[^1]: n\n\n3. a\n4. b\n")
+    assert native.read(native.write(rich))["blocks"] == rich["blocks"]
+    for bad in ("Para", "[ Para", "[ Para ) ]", "[ ^ ]"):
+        with pytest.raises(ValueError):
+            native.read(bad)
+
+
+def test_slides_and_whole_files():
+    from folioflow.operators import standalone
+    from folioflow.writers import slides
+
+    doc = markdown.read("---\ntitle: T *x*\n---\n\n# S\n\n## A\n\ntext\n\n---\n\nmore\n\n## B\n\n```\nc\n```\n", "markdown")
+    assert [k for k, _, _ in slides.segment(doc["blocks"], 2)] == ["section", "frame", "frame", "frame"]
+    assert slides.beamer(doc).count("\\begin{frame}") == 3 and "[fragile]" in slides.beamer(doc)
+    assert slides.revealjs(doc).count("<section") == 5
+    whole = standalone.wrap(doc, "html", with_toc=True, numbered=True, variables={"lang": "en"})
+    assert "<title>T x</title>" in whole and 'number="1.1"' in whole and '<a href="#a">A</a>' in whole and whole.startswith("<!DOCTYPE html>\n<html lang=\"en\">")
+    assert "\\maketitle" in standalone.wrap(doc, "latex") and standalone.wrap(doc, "plain").startswith("T _x_\n")
+    count = standalone.Counter([ast.node("Header", [2, ast.attr(), []])])
+    assert [count.next(n, []) for n in (2, 4, 3, 2)] == ["1", "1.0.1", "1.1", "2"] and count.next(2, ["unnumbered"]) is None
