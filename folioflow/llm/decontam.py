@@ -214,10 +214,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", car
 
     Null text has no words; null or empty items have no windows; an item without id counts as one named ''; items with
     equal ids count once; an empty benchmark hits nothing; a document row that repeats is judged each time. Columns of
-    docs (those in carry, if given) pass through; the three new names must not be among them. A block of items is broadcast (BLOCK_BYTES at most);
+    docs (those in carry, if given) pass through; the three new columns replace ones with their names. A block of items is broadcast (BLOCK_BYTES at most);
     a benchmark of several blocks takes a pass over the documents for each.
     """
     spark = docs.sparkSession
+    new = ("n_words", "removal_spans", "items")
+    docs = docs.select([c for c in docs.columns if c not in new])
+    carry = carry if carry is None else [c for c in carry if c not in new]
     out = docs
     blocks = [None]
     for k, block in enumerate(item_blocks(benchmark)):

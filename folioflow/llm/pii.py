@@ -102,12 +102,13 @@ def find(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
 
     A null text has no spans. Base kinds keep every span that passes its check, whatever its score; added kinds (account
     numbers, national ids) need their check and a score of LEAST. Spans of different kinds may overlap. No shuffle; all
-    other columns pass through; `into` must not be one of them.
+    other columns pass through, but for `into` and names that begin with _pii_, which are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    kinds = [spans_of(t, *k).alias(f"_{k[0]}") for k in KINDS]
-    staged = docs.select("*", *kinds)
-    return staged.select(*docs.columns, F.concat(*(F.col(f"_{k[0]}") for k in KINDS)).alias(into))
+    own = [c for c in docs.columns if c != into and not c.startswith("_pii_")]
+    kinds = [spans_of(t, *k).alias(f"_pii_{k[0]}") for k in KINDS]
+    staged = docs.select(*own, *kinds)
+    return staged.select(*own, F.concat(*(F.col(f"_pii_{k[0]}") for k in KINDS)).alias(into))
 
 
 def render(spans: Column) -> Column:

@@ -190,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
 
     Labels of rows whose crc32(doc_id as text) mod 4 is 2 are never used; only texts enter a score. A null text is scored
     as empty; null labels count as none; of several labels of a doc_id the largest counts; without labels every score is
-    the base rate 0.5 or less. New names must not be among the columns of docs.
+    the base rate 0.5 or less. The new columns replace columns of docs with their names.
     """
     spark = docs.sparkSession
     known = common.materialise(labelled(docs, labels), "toxic-labelled")
@@ -212,7 +212,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
     early.unpersist()
     common.forget(every)
     common.forget(known)
-    names = docs.columns if carry is None else carry
+    names = [c for c in (docs.columns if carry is None else carry) if c not in ("held_out", "score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -74,7 +74,6 @@ def write_archive(out, records: Iterator[bytes]) -> int:
         for r in group:
             out.write(c.compress(r))
             n += 1
-        held.clear() if group is held else None
     return n
 
 
@@ -159,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             files.append((path, n[0]))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64())], ["path", "records"])
 
-    typed = with_record_types(pages, least=least)
+    typed = with_record_types(pages.select("page_id", "url", "html"), least=least)
     made = typed.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "payload_sha1", F.col("refers_to").cast("long"))
     return common.materialise(made.mapInArrow(run, "path string, records long"), "warc-files")
 

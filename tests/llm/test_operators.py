@@ -356,3 +356,18 @@ def test_skew_join_and_thin(spark):
     assert sorted(map(tuple, got.select("k", "v", "t").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "v", "t").collect()))
     some = left.filter("v % 50 = 0").select("k")
     assert left.join(some, "k", "left_semi").count() == common.thin(left, some, "k").join(some, "k", "left_semi").count()
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, "call +1 (702) 555-0742", 0.1, 2, True, "x", 9, "y", "z", "w"), (2, None, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, held_out boolean, items string, n_words int, pii string, _pii_email string, removal_spans string")
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, labels).select("score", "held_out", "items").count() == 2
+    bench = spark.createDataFrame([(5, "call")], "item_id long, text string")
+    assert [r.contaminated for r in decontam.judged(decontam.decontaminate(docs, bench)).orderBy("doc_id").collect()] == [True, False]
+    assert [r.n_phone for r in pii.digest(pii.find(docs)).orderBy("doc_id").collect()] == [1, 0]
+    for made in (packing.pack(docs), ngramjoin.components(docs), substring.remove_repeats(docs)):
+        assert made.select("doc_id").distinct().count() == 2
+    pages = spark.createDataFrame([(1, "u", "<p>a", "q", "r", 3), (2, "u", "<p>a", "q", "r", 4)], "page_id long, url string, html string, payload_sha1 string, refers_to string, n_chars int")
+    assert {r.refers_to for r in warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/c")).collect()} == {None, 2}
+    assert {r.text for r in sitestyle.extract(pages).collect()} == {"a"}
