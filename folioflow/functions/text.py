@@ -192,3 +192,81 @@ def fill(words: Column, width: int) -> Column:
     """Greedy line filling of an array of words: a word goes on a new line when it would end beyond the width."""
     step = lambda a, w: F.when(a["col"] == 0, F.struct(w.alias("out"), F.length(w).alias("col"))).when(a["col"] + 1 + F.length(w) > width, F.struct(F.concat(a["out"], F.lit("\n"), w).alias("out"), F.length(w).alias("col"))).otherwise(F.struct(F.concat(a["out"], F.lit(" "), w).alias("out"), (a["col"] + 1 + F.length(w)).alias("col")))
     return F.aggregate(F.filter(words, lambda w: w != ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("col")), step)["out"]
+
+
+# Letters with marks and the letters below them; digits as raised and lowered glyphs.
+MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+DIGITS, RAISED, LOWERED = "0123456789+-=()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾", "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"
+#: Inches of a unit.
+UNITS = {"in": 1.0, "cm": 1 / 2.54, "mm": 1 / 25.4, "px": 1 / 96, "pt": 1 / 72, "pc": 1 / 6}
+SCHEMES = ("http", "https", "ftp", "mailto", "file", "data", "news", "tel", "urn", "ws", "wss")
+
+
+def fold_ascii(col: Column) -> Column:
+    """Latin letters without their marks; other characters stay."""
+    return F.translate(col, MARKED, BARE)
+
+
+def raised(col: Column) -> Column:
+    """Superscript glyphs if every character has one, else null."""
+    return F.when(F.translate(col, DIGITS, "") == "", F.translate(col, DIGITS, RAISED))
+
+
+def lowered(col: Column) -> Column:
+    return F.when(F.translate(col, DIGITS, "") == "", F.translate(col, DIGITS, LOWERED))
+
+
+def roman_value(col: Column) -> Column:
+    """The value of a canonical numeral, null for any other text."""
+    lower = F.lower(col)
+    worth = lambda c: F.when(c == "i", 1).when(c == "v", 5).when(c == "x", 10).when(c == "l", 50).when(c == "c", 100).when(c == "d", 500).when(c == "m", 1000).otherwise(0)
+    # from the right: a smaller digit than the one before it counts down
+    step = lambda a, c: F.struct((a["sum"] + F.when(worth(c) < a["last"], -worth(c)).otherwise(worth(c))).alias("sum"), F.greatest(a["last"], worth(c)).alias("last"))
+    total = F.aggregate(F.split(F.reverse(lower), ""), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), step)["sum"]
+    return F.when(lower.rlike("^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & (lower != ""), total)
+
+
+def dimension(col: Column) -> tuple[Column, Column]:
+    """Number and unit of a length such as 2.5cm or 50%; nulls for anything else. No unit means pixels."""
+    pattern = r"^\s*([0-9]+(?:\.[0-9]+)?)\s*(in|inch|cm|mm|px|pt|pc|%|)\s*$"
+    ok = col.rlike(pattern)
+    unit = F.regexp_extract(col, pattern, 2)
+    named = F.when(unit == "", "px").when(unit == "inch", "in").otherwise(unit)
+    return F.when(ok, F.regexp_extract(col, pattern, 1).try_cast("double")), F.when(ok, named)
+
+
+def inches(number: Column, unit: Column) -> Column:
+    out = F.when(F.lit(False), 0.0)
+    for name, size in UNITS.items():
+        out = out.when(unit == name, number * size)
+    return out
+
+
+def is_uri(col: Column) -> Column:
+    """A known scheme and no blank or delimiter."""
+    return F.lower(F.regexp_extract(col, r"^([A-Za-z][A-Za-z0-9+.-]*):[^\s<>\"{}|\\^`]*$", 1)).isin(*SCHEMES)
+
+
+def join_url(base: Column, url: Column) -> Column:
+    """A relative address on its base: its root, or its folder."""
+    root = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/", 0)
+    return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(F.startswith(url, F.lit("/")), F.concat(root, url)).otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), url))
+
+
+def xml_chars(col: Column) -> Column:
+    """Without the control characters that XML forbids."""
+    return F.regexp_replace(col, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+
+
+def dash_thirds(n: Column) -> Column:
+    """A run of n hyphens as em dashes, with an en dash or a hyphen for what is left."""
+    return F.concat(F.repeat(F.lit("—"), F.floor(n / 3).cast("int")), F.when(n % 3 == 2, "–").when(n % 3 == 1, "-").otherwise(""))
+
+
+def block_pipe(col: Column, width: int, align: str, left: str, right: str) -> Column:
+    """A text padded to a width by characters, between borders; trailing blanks go where the right border is empty."""
+    gap = F.greatest(F.lit(width) - F.length(col), F.lit(0))
+    a = F.lit(0) if align == "left" else gap if align == "right" else F.floor(gap / 2).cast("int")
+    made = F.concat(F.lit(left), F.repeat(F.lit(" "), a), col, F.repeat(F.lit(" "), gap - a), F.lit(right))
+    return made if right else F.rtrim(made)

@@ -169,3 +169,58 @@ def doc_paragraphs(spark, sf_dir):
 def autolink_extract(spark, sf_dir):
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0)))
     return read(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", F.explode(found).alias("target"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS folded FROM documents")
+def ascii_identifiers(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.fold_ascii(F.col("text")).alias("folded"))
+
+
+@query(f"""SELECT n, translate(CAST(n AS VARCHAR), '{T.DIGITS}', '{T.RAISED}') AS raised, translate(CAST(n AS VARCHAR), '{T.DIGITS}', '{T.LOWERED}') AS lowered, repeat(chr(8212), CAST(n % 20 // 3 AS BIGINT)) || CASE n % 20 % 3 WHEN 2 THEN chr(8211) WHEN 1 THEN '-' ELSE '' END AS dashes
+FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) AS n FROM orders)""")
+def script_glyphs(spark, sf_dir):
+    k = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("n")).distinct()
+    s = F.col("n").cast("string")
+    return k.select("n", T.raised(s).alias("raised"), T.lowered(s).alias("lowered"), T.dash_thirds(F.col("n") % 20).alias("dashes"))
+
+
+@query("""SELECT n, CASE WHEN n BETWEEN 1 AND 3999 THEN n END AS value FROM (SELECT DISTINCT CAST(o_orderkey % 5000 AS BIGINT) AS n FROM orders)""")
+def roman_parse(spark, sf_dir):
+    """Numerals written and read again; what is no numeral has no value."""
+    k = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).cast("long").alias("n")).distinct()
+    return k.select("n", T.roman_value(T.roman(F.col("n"))).cast("long").alias("value"))
+
+
+@query("""WITH d AS (SELECT p_partkey, p_size, CAST(p_size AS DOUBLE) + 0.5 AS x, list_extract(['in', 'cm', 'mm', 'px', 'pt', 'pc', '%', ''], CAST(p_partkey % 8 + 1 AS BIGINT)) AS u FROM part)
+SELECT p_partkey, x AS number, CASE WHEN u = '' THEN 'px' ELSE u END AS unit,
+       round(CASE u WHEN 'in' THEN x WHEN 'cm' THEN x / 2.54 WHEN 'mm' THEN x / 25.4 WHEN 'px' THEN x / 96 WHEN '' THEN x / 96 WHEN 'pt' THEN x / 72 WHEN 'pc' THEN x / 6 END, 6) AS inches FROM d""")
+def dimensions(spark, sf_dir):
+    units = F.array(*map(F.lit, ["in", "cm", "mm", "px", "pt", "pc", "%", ""]))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(".5"), F.element_at(units, (F.col("p_partkey") % 8 + 1).cast("int"))).alias("t"))
+    number, unit = T.dimension(F.col("t"))
+    return p.select("p_partkey", number.alias("number"), unit.alias("unit")).withColumn("inches", F.round(T.inches(F.col("number"), F.col("unit")), 6))
+
+
+@query("""SELECT page_id, true AS uri, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || '/x.png' AS rooted, regexp_extract(url, '^[a-z]+://[^?#]*/', 0) || 'x.png' AS beside FROM pages""")
+def url_join(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", T.is_uri(u).alias("uri"), T.join_url(u, F.lit("/x.png")).alias("rooted"), T.join_url(u, F.lit("x.png")).alias("beside"))
+
+
+@query("""SELECT n_nationkey, '[' || rpad(n_name, 20, ' ') || ']' AS l, '[' || lpad(n_name, 20, ' ') || ']' AS r, n_name AS bare FROM nation""")
+def block_pipes(spark, sf_dir):
+    n = F.col("n_name")
+    return read(spark, sf_dir, "nation").select("n_nationkey", T.block_pipe(n, 20, "left", "[", "]").alias("l"), T.block_pipe(n, 20, "right", "[", "]").alias("r"), T.block_pipe(n, 20, "left", "", "").alias("bare"))
+
+
+@query("""SELECT page_id, url AS decoded FROM pages""")
+def percent_round_trip(spark, sf_dir):
+    """Every byte of an address percent-encoded and decoded again."""
+    u = F.col("url")
+    hexed = F.regexp_replace(F.hex(u.cast("binary")), "(..)", "%$1")
+    return read(spark, sf_dir, "pages").select("page_id", T.percent_decode(hexed).alias("decoded"))
+
+
+@query("""SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS clean FROM documents""")
+def xml_character_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.xml_chars(F.col("text")).alias("clean"))
