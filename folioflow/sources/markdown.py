@@ -31,6 +31,13 @@ FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
 ATTRS = re.compile(r"\{([^{}]*)\}")
 
 
+CITE = re.compile(r"(-?)@(\{[^}]+\}|[A-Za-z0-9_](?:[\w]|[:.#$%&+?<>~/-](?=\w))*)")
+
+
+def cite(key: str, prefix: list[Node], suffix: list[Node], mode: str) -> dict[str, Any]:
+    return {"citationId": key.strip("{}"), "citationPrefix": prefix, "citationSuffix": suffix, "citationMode": {"t": mode}, "citationNoteNum": 0, "citationHash": 0}
+
+
 def label_key(s: str) -> str:
     return " ".join(s.split()).casefold().upper()
 
@@ -150,7 +157,8 @@ class Reader:
                 return node(t, [self.inlines(v) for v in c])
             if t == "MdTable":
                 cell = lambda s: [node("Plain", self.inlines(s))] if s else []
-                return table([cell(s) for s in c[0]], [[cell(s) for s in r] for r in c[1]], c[2])
+                note = [node("Plain", self.inlines(c[3]))] if len(c) > 3 and c[3] else []
+                return table([cell(s) for s in c[0]], [[cell(s) for s in r] for r in c[1]], c[2], note)
             return node(t, self._resolve(c)) if c is not None else x
         return x
 
@@ -172,7 +180,7 @@ class Reader:
                 out.append(node("CodeBlock", [NO_ATTR, "\n".join(code)]))
                 i = j
                 continue
-            for rule in (self._fence, self._atx, self._thematic, self._div, self._quote, self._table, self._line_block, self._list, self._footnote, self._reference, self._html):
+            for rule in (self._fence, self._atx, self._simple, self._thematic, self._div, self._quote, self._table, self._grid, self._line_block, self._list, self._footnote, self._reference, self._html):
                 made = rule(lines, i)
                 if made is not None:
                     blocks, i = made
@@ -455,6 +463,82 @@ class Reader:
             j += 1
         return [node("MdTable", [head if any(head) else [], rows, aligns])], j
 
+    def _caption(self, lines, j) -> tuple[str, int]:
+        """A caption line after a table (`Table: ...` or `: ...`), past one blank line."""
+        k = j
+        while k < len(lines) and not lines[k].strip():
+            k += 1
+        m = re.match(r" {0,3}(?:[Tt]able)?:[ \t]+(.*)$", lines[k]) if self.has("table_captions") and k < len(lines) and k - j <= 1 else None
+        if not m:
+            return "", j
+        text = [m[1]]
+        k += 1
+        while k < len(lines) and lines[k].strip():
+            text.append(lines[k].strip())
+            k += 1
+        return " ".join(text), k
+
+    def _grid(self, lines, i):
+        """Cells drawn with plus, minus and bar signs; a rule of equals signs ends the head. Cells hold blocks."""
+        edge = re.compile(r"\+(?:[-=:]+\+)+\s*$")
+        if not self.has("grid_tables") or not edge.match(lines[i]) or "=" in lines[i]:
+            return None
+        cuts = [k for k, c in enumerate(lines[i].rstrip()) if c == "+"]
+        rows, heads, cur, aligns, j = [], 0, [], lines[i], i + 1
+        while j < len(lines) and (lines[j].startswith("|") or edge.match(lines[j])):
+            if edge.match(lines[j]):
+                if cur:
+                    rows.append([[line[a + 1 : z].rstrip() for line in cur] for a, z in zip(cuts, cuts[1:], strict=False)])
+                cur = []
+                if "=" in lines[j]:
+                    heads, aligns = len(rows), lines[j]
+            else:
+                cur.append(lines[j].ljust(cuts[-1] + 1))
+            j += 1
+        if cur or not rows:
+            return None
+        kinds = []
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            mark = aligns[a + 1 : z]
+            kinds.append({(1, 1): "AlignCenter", (1, 0): "AlignLeft", (0, 1): "AlignRight", (0, 0): "AlignDefault"}[(mark.startswith(":"), mark.endswith(":"))])
+
+        def cell(raw: list[str]) -> list[Node]:
+            made = self.blocks([x[1:] if x.startswith(" ") else x for x in raw])
+            return [node("Plain", b["c"]) if b["t"] == "Para" else b for b in made]
+
+        made = [[cell(c) for c in r] for r in rows]
+        caption, j = self._caption(lines, j)
+        head = made[:heads][0] if heads else []
+        return [table(head, made[min(heads, 1) :], kinds, [node("Plain", caption)] if caption else [])], j
+
+    def _simple(self, lines, i):
+        """Columns under runs of hyphens; where a heading stands against its run says how the column is aligned."""
+        if not self.has("simple_tables"):
+            return None
+        rule = re.compile(r" {0,3}-+(?: +-+)+ *$|-{3,} *$")
+        bare = bool(rule.match(lines[i])) and " -" in lines[i].strip()
+        at = i if bare else i + 1
+        if at >= len(lines) or not rule.match(lines[at]) or " -" not in lines[at].strip() or (not bare and not lines[i].strip()):
+            return None
+        spans = [(m.start(), m.end()) for m in re.finditer(r"-+", lines[at])]
+        j, body = at + 1, []
+        while j < len(lines) and lines[j].strip() and not rule.match(lines[j]):
+            body.append(lines[j])
+            j += 1
+        if bare and (j >= len(lines) or not rule.match(lines[j])):
+            return None
+        if j < len(lines) and rule.match(lines[j]):
+            j += 1
+        part = lambda line: [line[a : (spans[k + 1][0] if k + 1 < len(spans) else None)].strip() for k, (a, _) in enumerate(spans)]
+        probe = (body[0] if bare and body else lines[i]).ljust(spans[-1][1])
+        kinds = []
+        for a, z in spans:
+            left, right = probe[a] != " ", probe[z - 1] != " "
+            kinds.append("AlignDefault" if left and right else "AlignLeft" if left else "AlignRight" if right else "AlignCenter")
+        caption, j = self._caption(lines, j)
+        made = node("MdTable", [[] if bare else part(lines[i]), [part(x) for x in body], kinds, caption])
+        return [made], j
+
     def _paragraph(self, lines, i):
         text, j = [lines[i].lstrip(" \t")], i + 1
         while j < len(lines) and lines[j].strip():
@@ -620,6 +704,12 @@ class Reader:
                 self.open_notes.discard(key)
                 i = put(node("Note", body), m.end())
                 continue
+            if c == "[" and self.has("citations") and (made := self._citation(s, i, links)):
+                i = put(made[0], made[1])
+                continue
+            if c == "@" and self.has("citations") and (not word or not word[-1].isalnum()) and (m := CITE.match(s, i)):
+                i = put(node("Cite", [[cite(m[2], [], [], "AuthorInText")], [node("Str", m[0])]]), m.end())
+                continue
             if c == "[" or (c == "!" and s.startswith("![", i)):
                 made = self._link(s, i, links)
                 if made:
@@ -680,6 +770,20 @@ class Reader:
             k += 1
         return None
 
+    def _citation(self, s: str, i: int, links: bool):
+        """A bracket of citations: prefix, optional minus sign, key, suffix; semicolons part them."""
+        end = self._bracket(s, i)
+        if end is None or not CITE.search(s, i, end) or s[end + 1 : end + 2] in ("(", "["):
+            return None
+        made = []
+        for part in s[i + 1 : end].split(";"):
+            m = CITE.search(part)
+            if not m:
+                return None
+            inner = lambda x: trim(merge(self._inlines(x, links)))
+            made.append(cite(m[2], inner(part[: m.start()].strip()), merge(self._inlines(part[m.end() :].rstrip(), links)), "SuppressAuthor" if m[1] else "NormalCitation"))
+        return node("Cite", [made, text_inlines(s[i : end + 1])]), end + 1
+
     def _link(self, s: str, i: int, links: bool):
         image = s[i] == "!"
         a = i + 1 if image else i

@@ -508,6 +508,14 @@ class Markdown(Writer):
     def i_SmallCaps(self, c):
         return self.wrapped("[", c, "]{.smallcaps}") if self.has("bracketed_spans") else self.wrapped('<span class="smallcaps">', c, "</span>")
 
+    def i_Cite(self, c):
+        if not self.has("citations"):
+            return self.inlines(c[1])
+        one = lambda x: "".join((self.inlines(x["citationPrefix"]) + BLANK if x["citationPrefix"] else "", "-" if x["citationMode"]["t"] == "SuppressAuthor" else "", "@" + x["citationId"], self.inlines(x["citationSuffix"])))
+        if len(c[0]) == 1 and c[0][0]["citationMode"]["t"] == "AuthorInText":
+            return one(c[0][0])
+        return "[" + (";" + BLANK).join(map(one, c[0])) + "]"
+
     def i_Quoted(self, c):
         if self.has("smart"):
             return self.wrapped("'" if c[0]["t"] == "SingleQuote" else '"', c[1])

@@ -343,3 +343,19 @@ def test_slides_and_whole_files():
     assert "\\maketitle" in standalone.wrap(doc, "latex") and standalone.wrap(doc, "plain").startswith("T _x_\n")
     count = standalone.Counter([ast.node("Header", [2, ast.attr(), []])])
     assert [count.next(n, []) for n in (2, 4, 3, 2)] == ["1", "1.0.1", "1.1", "2"] and count.next(2, ["unnumbered"]) is None
+
+
+def test_drawn_tables_and_citations():
+    grid = "+-----+-------+\n| a   | b     |\n+=====+:=====:+\n| 1   | - x   |\n|     | - y   |\n+-----+-------+\n\nTable: cap *c*\n"
+    h = engine.convert_text(grid, "markdown", "html", wrap="none")
+    assert "<caption>cap <em>c</em></caption>" in h and "<li>y</li>" in h and "text-align: center" in h and h.count("<th") == 3
+    simple = "  Right Left     Center\n------- ------ ----------\n     12 12        12\n    123 123       123\n\nNext\n"
+    h = engine.convert_text(simple, "markdown", "html", wrap="none")
+    assert "text-align: right" in h and "text-align: left" in h and "text-align: center" in h and h.endswith("<p>Next</p>")
+    assert engine.convert_text("------- ---\n a      b\n------- ---\n", "markdown", "html").count("<td") == 2
+    doc = markdown.read("See [see @a1, p. 3; -@b:c] and @d.")
+    cites = [n["c"][0] for n in ast.walk(doc["blocks"]) if n["t"] == "Cite"]
+    assert [[x["citationId"] for x in c] for c in cites] == [["a1", "b:c"], ["d"]]
+    assert [x["citationMode"]["t"] for c in cites for x in c] == ["NormalCitation", "SuppressAuthor", "AuthorInText"]
+    assert writers.write(doc, "markdown") == "See [see @a1, p. 3; -@b:c] and @d."
+    assert engine.convert_text("a@b.c [@x](u)", "markdown", "plain") == "a@b.c @x"
