@@ -9,6 +9,7 @@ import unicodedata
 from typing import Any
 
 from folioflow.operators import options
+from folioflow.sources import metadata
 from folioflow.sources.ast import NO_ATTR, Node, attr, document, merge, node, plain, table, text_inlines, trim
 
 PUNCT = frozenset(string.punctuation)
@@ -108,9 +109,18 @@ class Reader:
             m = re.match(r"---[ \t]*\n(.*?)\n(?:---|\.\.\.)[ \t]*(?:\n|$)", text, re.S)
             if m:
                 text = text[m.end() :]
-                for line in m[1].split("\n"):
-                    if kv := re.match(r"([\w-]+):[ \t]+(.*)$", line):
-                        meta[kv[1]] = node("MetaInlines", self.inlines(kv[2].strip("\"'")))
+                meta = metadata.read(m[1], self.inlines)
+        if self.has("pandoc_title_block") and (m := re.match(r"%(.*(?:\n[ \t]+\S.*)*)(?:\n%(.*(?:\n[ \t]+\S.*)*))?(?:\n%(.*))?(?:\n|$)", text)):
+            text = text[m.end() :]
+            for key, v in zip(("title", "author", "date"), m.groups(), strict=True):
+                if v and v.strip():
+                    people = [node("MetaInlines", self.inlines(x)) for x in re.split(r";|\n", v) if x.strip()]
+                    meta.setdefault(key, node("MetaList", people) if key == "author" else node("MetaInlines", self.inlines(v)))
+        if self.has("mmd_title_block") and (m := re.match(r"(?:[A-Za-z][\w ]*:[ \t]*\S.*\n)+(?:\n|$)", text)):
+            text = text[m.end() :]
+            for line in m[0].strip().split("\n"):
+                k, _, v = line.partition(":")
+                meta[k.strip().lower().replace(" ", "")] = node("MetaInlines", self.inlines(v.strip()))
         tree = self.blocks(text.split("\n"))
         return document(self.finish(tree), meta)
 
@@ -704,6 +714,10 @@ class Reader:
                 self.open_notes.discard(key)
                 i = put(node("Note", body), m.end())
                 continue
+            if c == "[" and s.startswith("[[", i) and (self.has("wikilinks_title_after_pipe") or self.has("wikilinks_title_before_pipe")) and (m := re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]+))?\]\]").match(s, i)):
+                url, label = (m[1], m[2] or m[1]) if self.has("wikilinks_title_after_pipe") else (m[2] or m[1], m[1])
+                i = put(node("Link", [attr(classes=["wikilink"]), text_inlines(label.strip()), [url.strip(), ""]]), m.end())
+                continue
             if c == "[" and self.has("citations") and (made := self._citation(s, i, links)):
                 i = put(made[0], made[1])
                 continue

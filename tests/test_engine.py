@@ -359,3 +359,21 @@ def test_drawn_tables_and_citations():
     assert [x["citationMode"]["t"] for c in cites for x in c] == ["NormalCitation", "SuppressAuthor", "AuthorInText"]
     assert writers.write(doc, "markdown") == "See [see @a1, p. 3; -@b:c] and @d."
     assert engine.convert_text("a@b.c [@x](u)", "markdown", "plain") == "a@b.c @x"
+
+
+def test_metadata():
+    from folioflow.sources import metadata
+
+    y = metadata.parse_yaml
+    assert y("a: 1\nb:\n  - x\n  - 'y: z'\nc: {k: v, l: [1, 2]}\n") == {"a": "1", "b": ["x", "y: z"], "c": {"k": "v", "l": ["1", "2"]}}
+    assert y("t: |\n  one\n  two\n\n  three\nn: >\n  a\n  b\nq: \"x\\n\" # c\nyes: true\n") == {"t": "one\ntwo\n\nthree\n", "n": "a b\n", "q": "x\n", "yes": True}
+    assert y("- k: v\n  l: w\n- m\n") == [{"k": "v", "l": "w"}, "m"] and y("# only\n") == {}
+    with pytest.raises(ValueError):
+        y("a: 1\n  b: 2\n c\n")
+    meta = markdown.read("---\ntitle: A *b*\nauthor:\n- X\n- Y\n...\n\nz")["meta"]
+    assert meta["title"]["c"][2]["t"] == "Emph" and len(meta["author"]["c"]) == 2
+    meta = markdown.read("% T t\n% A; B\n% D\n\nx")["meta"]
+    assert [meta[k]["t"] for k in ("title", "author", "date")] == ["MetaInlines", "MetaList", "MetaInlines"]
+    assert "basename" in markdown.read("Base Name: x\nKey: y\n\nz", "markdown_mmd")["meta"]
+    assert metadata.read('{"a": {"b": [true, "*x*"]}}', markdown.Reader(frozenset(), True).inlines)["a"]["t"] == "MetaMap"
+    assert engine.convert_text("[[u|l]]", "markdown+wikilinks_title_after_pipe", "html") == '<p><a href="u" class="wikilink">l</a></p>'
