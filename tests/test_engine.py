@@ -377,3 +377,15 @@ def test_metadata():
     assert "basename" in markdown.read("Base Name: x\nKey: y\n\nz", "markdown_mmd")["meta"]
     assert metadata.read('{"a": {"b": [true, "*x*"]}}', markdown.Reader(frozenset(), True).inlines)["a"]["t"] == "MetaMap"
     assert engine.convert_text("[[u|l]]", "markdown+wikilinks_title_after_pipe", "html") == '<p><a href="u" class="wikilink">l</a></p>'
+
+
+def test_self_contained_pages():
+    from folioflow.operators import embed
+
+    files = {"i.png": (b"P", "image/png"), "c/s.css": (b"@import 't.css'; b{background:url(../i.png)} u{background:url(x.png)}", "text/css"), "c/t.css": (b"i{}", "text/css"), "c/x.png": (b"X", "image/png"), "a.js": (b"1", "text/javascript")}
+    page = '<link rel=stylesheet href="c/s.css"><img alt="a>b" src=i.png><a href="i.png">l</a><script src=\'a.js\'></script><img src="none.png"><style>p{background:url("i.png")}</style>'
+    made = embed.inline_resources(page, files.get)
+    assert made.count("data:image/png;base64,UA==") == 2 and 'href="data:text/css;base64,' in made and '<a href="i.png">' in made
+    assert 'src="data:text/javascript;base64,MQ=="' in made and 'src="none.png"' in made
+    css = embed.inline_css(files["c/s.css"][0].decode(), "c/s.css", files.get)
+    assert "url(data:image/png;base64,WA==)" in css and "@import url(data:text/css" in css and "../i.png" in css
