@@ -11,9 +11,12 @@ curve that is fitted on labelled texts the models have not seen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,14 @@ from folioflow.llm import common
 
 #: Bytes of a word at each level, coarse to fine (the last is longer than any word).
 LEVELS = (5, 7, 1 << 30)
+#: Keeps the levels' hashes apart (a small step would be met by a word whose first letter is the next one).
+LEVEL_STEP = 0xD6E8FEB86659FD93
 #: Absolute discount of document counts, and the share that every level hands to its backoff at least.
 DISCOUNT, BACKOFF = 3.0, 0.3
-#: The model has at most SLOTS expressions (where two meet in a slot the more frequent stays): 14 bytes each are broadcast.
-SLOTS = 1 << 21
+#: Expressions of a block of the model (12 bytes each), about; slices of a batch that are looked up in one pass over the blocks.
+BLOCK, GROUP = 1 << 21, 16
+#: Rows of counts that a task holds before it merges them, and passes them on where that does not halve them.
+HELD = 1 << 20
 #: Words of the strongest evidence.
 TOP = 5
 #: Labelled texts that the two numbers of the logistic curve are fitted on, at most (those with the smallest hashes).
@@ -49,7 +56,7 @@ def expressions(texts: list[str | None]) -> tuple[common.Words, list[np.ndarray]
     out = []
     for k, n in enumerate(LEVELS):
         end = np.minimum(w.end, w.start + n)
-        out.append(common.mix((buf[end - 1] - base) * back + np.uint64(k)))
+        out.append(common.mix((buf[end - 1] - base) * back + np.uint64(LEVEL_STEP * k % 2**64)))
     return w, out
 
 
@@ -61,6 +68,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return common.thin(at, known, "doc_id").join(known, "doc_id").select("text", "toxic", fold(F.col("doc_id")).alias("fold"))
 
 
+def merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns level, h, parent and counts, in pieces, as one row for each h."""
+    lv, h, p, *n = map(np.concatenate, held)
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    pick = order[starts]
+    return [lv[pick], h[pick], p[pick], *(np.add.reduceat(x[order], starts) for x in n)]
+
+
 def counts(train: DataFrame) -> DataFrame:
     """level, h, parent, toxic, ordinary, toxic_curve, ordinary_curve: in how many texts of each class an expression occurs.
 
@@ -89,82 +105,129 @@ def counts(train: DataFrame) -> DataFrame:
                     first = order[starts]
                     for c, v in zip(held, (np.full(len(starts), k, np.int32), h[first].view(np.int64), (levels[k - 1][first] if k else h[first]).view(np.int64), *n), strict=True):
                         c.append(v)
+                if sum(map(len, held[0])) > HELD:
+                    held = [[c] for c in merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for (c,) in held], ["level", "h", "parent", *four])
+                        held = [[] for _ in range(7)]
             if held[0]:
-                lv, h, p, *n = map(np.concatenate, held)
-                order = np.argsort(h, kind="stable")
-                starts = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
-                pick = order[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(lv[pick]), pa.array(h[pick]), pa.array(p[pick]), *(pa.array(np.add.reduceat(x[order], starts)) for x in n)], ["level", "h", "parent", *four])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged(held)], ["level", "h", "parent", *four])
 
     raw = train.select("text", F.col("toxic").cast("int"), "fold").mapInArrow(run, "level int, h long, parent long, " + ", ".join(f"{c} long" for c in four))
     return raw.groupBy("level", "h", "parent").agg(*(F.sum(c).alias(c) for c in four))
 
 
 class Model:
-    """Log-likelihood ratios of expressions, in a table of fixed size."""
-
-    def __init__(self, level: np.ndarray, h: np.ndarray, parent: np.ndarray, t: np.ndarray, o: np.ndarray, totals: dict[int, tuple[float, float]]):
-        self.mask = np.uint64(SLOTS - 1)
-        self.ratio = np.zeros(SLOTS, np.float32)
-        self.tag = np.zeros(SLOTS, np.uint64)
-        by = np.zeros(0, np.uint64), np.zeros((0, 3))
-        for k in range(len(LEVELS)):
-            own = np.flatnonzero(level == k)
-            own = own[np.argsort(h[own])]
-            key, ct, co = h[own], t[own].astype(float), o[own].astype(float)
-            nt, no = totals.get(k, (1.0, 1.0))
-            both = ct + co
-            if k == 0:
-                pt = po = both / max(nt + no, 1.0)
-            else:  # the coarser level's class estimates, shared out by the counts of both classes
-                at = np.minimum(np.searchsorted(by[0], parent[own]), max(len(by[0]) - 1, 0))
-                known = (by[0][at] == parent[own]) if len(by[0]) else np.zeros(len(own), bool)
-                up = by[1][at] if len(by[0]) else np.zeros((len(own), 3))
-                share = both / np.maximum(np.where(known, up[:, 2], both), 1)
-                pt = np.where(known, up[:, 0] * share, both / max(nt + no, 1.0))
-                po = np.where(known, up[:, 1] * share, both / max(nt + no, 1.0))
-            dt, do = np.maximum(ct - DISCOUNT, 0), np.maximum(co - DISCOUNT, 0)
-            pt = (1 - BACKOFF) * dt / max(dt.sum(), 1.0) + BACKOFF * pt
-            po = (1 - BACKOFF) * do / max(do.sum(), 1.0) + BACKOFF * po
-            slot = (key & self.mask).astype(np.int64)
-            self.ratio[slot] = np.log(pt) - np.log(po)
-            self.tag[slot] = key
-            by = key, np.stack([pt, po, both], 1)
+    """Log-likelihood ratios of all counted expressions, dealt by hash over blocks that are broadcast each on its own.
+
+    The number of blocks grows with the corpus, their size does not: driver and tasks hold one at a time.
+    """
+
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
+
+    def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes and their ratios. Of several blocks none is kept (Broadcast.value alone would keep all)."""
+        b = self.blocks[i]
+        out = b.value
+        if len(self.blocks) > 1 and getattr(b, "_path", None):
+            b.__dict__.pop("_value", None)
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ratio of each hash, NaN where it is not known."""
+        out = np.full(len(keys), np.nan, np.float32)
+        at = keys.view(np.int64) % len(self.blocks)
+        for i in range(len(self.blocks)):
+            mine = np.flatnonzero(at == i)
+            mine = mine[np.argsort(keys[mine])]
+            h, ratio = self.block(i)
+            if len(mine) and len(h):
+                slot = np.minimum(np.searchsorted(h, keys[mine]), len(h) - 1)
+                out[mine] = np.where(h[slot] == keys[mine], ratio[slot], np.nan)
+        return out
 
     def ratios(self, levels: list[np.ndarray]) -> np.ndarray:
         """Of each word: the ratio at its finest known level, 0 if none is known."""
-        out = np.zeros(len(levels[0]), np.float32)
-        todo = np.arange(len(out))
-        for h in reversed(levels):
-            slot = (h[todo] & self.mask).astype(np.int64)
-            hit = self.tag[slot] == h[todo]
-            out[todo[hit]] = self.ratio[slot[hit]]
-            todo = todo[~hit]
+        found = self.find(np.concatenate(levels)).reshape(len(levels), -1)
+        out = np.zeros(found.shape[1], np.float32)
+        for v in found:
+            out = np.where(np.isnan(v), out, v)
         return out
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Mean ratio of all words and mean of the TOP strongest (a text with fewer positive ones: zeros for the rest)."""
-        w, levels = expressions(texts)
-        v = self.ratios(levels).astype(float)
-        n = np.diff(w.first)
-        doc = np.repeat(np.arange(len(texts)), n)
-        mean = np.bincount(doc, v, len(texts)) / np.maximum(n, 1)
-        pos = np.flatnonzero(v > 0)
-        pos = pos[np.lexsort((-v[pos], doc[pos]))]
-        start = np.searchsorted(doc[pos], np.arange(len(texts)))
-        nth = np.arange(len(pos)) - start[doc[pos]]
-        top = np.bincount(doc[pos][nth < TOP], v[pos][nth < TOP], len(texts)) / TOP
-        return np.stack([mean, top], 1)
+    def features(self, group: list[list[str | None]]) -> list[np.ndarray]:
+        """For each list of texts: mean ratio of all words and mean of the TOP strongest (a text with fewer positive ones: zeros for the rest)."""
+        held, levels, at = [], [], 0
+        for texts in group:  # each list's distinct words are looked up, all lists' in one pass over the blocks
+            w, own = expressions(texts)
+            _, first, back = np.unique(own[-1], return_index=True, return_inverse=True)
+            held.append((np.diff(w.first), (back + at).astype(np.int32)))
+            levels.append(np.stack([h[first] for h in own]))
+            at += len(first)
+        value = self.ratios(list(np.concatenate(levels, 1))) if levels else np.zeros(0, np.float32)
+        out = []
+        for n, words in held:
+            v = value[words].astype(float)
+            doc = np.repeat(np.arange(len(n)), n)
+            mean = np.bincount(doc, v, len(n)) / np.maximum(n, 1)
+            pos = np.flatnonzero(v > 0)
+            pos = pos[np.lexsort((-v[pos], doc[pos]))]
+            start = np.searchsorted(doc[pos], np.arange(len(n)))
+            nth = np.arange(len(pos)) - start[doc[pos]]
+            top = np.bincount(doc[pos][nth < TOP], v[pos][nth < TOP], len(n)) / TOP
+            out.append(np.stack([mean, top], 1))
+        return out
+
+    def scored(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Slices of a batch with the features of their texts; GROUP slices are looked up together."""
+        parts = common.text_chunks(batch)
+        while group := list(islice(parts, GROUP)):
+            yield from zip((p for p, _ in group), self.features([t for _, t in group]), strict=True)
+
+    def unpersist(self) -> None:
+        for b in self.blocks:
+            b.unpersist()
+
+
+def ratios_table(every: DataFrame) -> tuple[DataFrame, int]:
+    """h and ratio of the expressions of level, h, parent, toxic, ordinary, and how many there are.
+
+    Expressions with counts up to DISCOUNT only are left to their parents: nothing remains of their own counts, so their
+    ratio is the parent's. A parent is in all texts that its expression is in, so those that are kept find theirs.
+    """
+    both, over = F.col("toxic") + F.col("ordinary"), F.greatest("toxic", "ordinary") > DISCOUNT
+    rest = lambda c: F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0))
+    sums = {r.level: r for r in every.groupBy("level").agg(F.sum(both).alias("n"), F.sum(rest("toxic")).alias("toxic"), F.sum(rest("ordinary")).alias("ordinary"), F.count(F.when(over, 1)).alias("known")).collect()}
+    found: list[DataFrame] = []
+    for k in range(len(LEVELS)):
+        own = every.filter(over & (F.col("level") == k)).withColumn("both", both)
+        if k == 0:
+            back = both / float(max(sums[k].n if k in sums else 0, 1))
+            own = own.withColumns({"pt": back, "po": back})
+        else:  # the coarser level's class estimates, shared out by the counts of both classes
+            up = found[-1].select(F.col("h").alias("parent"), F.col("pt").alias("up_t"), F.col("po").alias("up_o"), F.col("both").alias("up_both"))
+            share = F.col("both") / F.col("up_both")
+            own = own.join(up, "parent").withColumns({"pt": F.col("up_t") * share, "po": F.col("up_o") * share})
+        part = lambda c, p: (1 - BACKOFF) * rest(c) / float(max(sums[k][c] if k in sums else 0, 1)) + BACKOFF * F.col(p)  # noqa: B023, E731
+        found.append(own.select("h", "both", part("toxic", "pt").alias("pt"), part("ordinary", "po").alias("po")))
+    rows = [f.select("h", (F.log("pt") - F.log("po")).cast("float").alias("ratio")) for f in found]
+    return reduce(DataFrame.unionByName, rows), sum(r.known for r in sums.values())
 
 
 def fit_model(every: DataFrame) -> Model:
-    """From level, h, parent, toxic, ordinary of all counted texts; what is fetched has SLOTS rows at most."""
-    totals = {r.level: (float(r.t), float(r.o)) for r in every.groupBy("level").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).collect()}
-    known = every.filter(F.greatest("toxic", "ordinary") > DISCOUNT)
-    slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
-    rows = known.groupBy(slot.alias("slot")).agg(F.max(F.struct(F.col("toxic") + F.col("ordinary"), "h", "level", "parent", "toxic", "ordinary")).alias("r")).select("r.*").toArrow()
-    col = lambda c, kind: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(kind)
-    return Model(col("level", np.int64), col("h", np.int64).view(np.uint64), col("parent", np.int64).view(np.uint64), col("toxic", np.int64), col("ordinary", np.int64), totals)
+    """From level, h, parent, toxic, ordinary of all counted texts; about BLOCK rows are fetched at a time."""
+    sc = every.sparkSession.sparkContext
+    rows, n = ratios_table(every)
+    rows = common.materialise(rows, "toxic-ratios", clean=False)
+    blocks, most = [], -(-n // BLOCK) or 1
+    for i in range(most):
+        got = rows.filter(F.pmod("h", F.lit(most)) == i).toArrow()
+        h, ratio = (got.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("h", "ratio"))
+        h = h.astype(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        blocks.append(sc.broadcast((h[order], ratio[order].astype(np.float32))))
+    common.forget(rows)
+    return Model(blocks)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -195,12 +258,11 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
     spark = docs.sparkSession
     known = common.materialise(labelled(docs, labels), "toxic-labelled")
     every = common.materialise(counts(known), "toxic-counts")
-    early = spark.sparkContext.broadcast(fit_model(every))
+    early = fit_model(every)
 
     def curve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in common.text_chunks(b):
-                f = early.value.features(texts)
+            for part, f in early.scored(b):
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), part.column(1)], ["mean", "top", "toxic"])
 
     some = known.filter("fold = 3").orderBy(F.xxhash64("text")).limit(CURVE_ROWS) if known.filter("fold = 3").count() > CURVE_ROWS else known.filter("fold = 3")
@@ -208,7 +270,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
     w = logistic(np.array([[r.mean, r.top] for r in seen], float).reshape(-1, 2), np.array([r.toxic == 1 for r in seen], float))
     # the curve's texts join the counts once the curve is known
     whole = every.select("level", "h", "parent", (F.col("toxic") + F.col("toxic_curve")).alias("toxic"), (F.col("ordinary") + F.col("ordinary_curve")).alias("ordinary"))
-    shared = spark.sparkContext.broadcast(fit_model(whole))
+    shared = fit_model(whole)
     early.unpersist()
     common.forget(every)
     common.forget(known)
@@ -216,8 +278,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in common.text_chunks(b):
-                f = shared.value.features(texts)
+            for part, f in shared.scored(b):
                 p = 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
                 cols = [part.column(part.schema.get_field_index(c)) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])

@@ -269,6 +269,32 @@ def test_toxicity_learns_and_survives_odd_rows(spark):
     assert toxicity.score(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_toxicity_keeps_every_counted_expression(spark, monkeypatch):
+    """Hashes that agree in all low bits, and a rare telling one beside a frequent ordinary one."""
+    rows = [(0, 5 + (i << 40), 5 + (i << 40), 50 * (i % 2), 1000 * (1 - i % 2)) for i in range(-40, 40)]
+    every = spark.createDataFrame(rows, "level int, h long, parent long, toxic long, ordinary long")
+    h = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+    whole = toxicity.fit_model(every).ratios([h])
+    assert all((v > 0) == (r[3] > 0) and v != 0 for v, r in zip(whole, rows, strict=True))
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    model = toxicity.fit_model(every)
+    assert len(model.blocks) == 12 and (model.ratios([h]) == whole).all()
+
+
+def test_toxicity_levels_share_no_hash():
+    _, levels = toxicity.expressions(["cat dat eat a b c"])
+    assert len(np.unique(np.concatenate(levels))) == 18
+
+
+def test_toxicity_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, words(rng, 40, 300) + (" scum vile" if i % 4 == 0 else ""), "en", 0, 0) for i in range(400)], DOCS)
+    labels = docs.select("doc_id", F.lit(0).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    once = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    assert {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()} == once
+
+
 # ---------------------------------------------------------------- archives
 
 
