@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import common
 
-#: A branch is cut when at least PAGES different pages have it and its composite importance is below LEAST.
-PAGES, LEAST, DAMPING = 12, 0.15, 0.9
+#: A branch is cut when at least PAGES different pages have it (one has no entropy) and its composite importance is below LEAST.
+PAGES, LEAST, DAMPING = 2, 0.15, 0.9
 
 # HTML elements by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -193,21 +193,25 @@ def low_branches(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())], ["host", "path", "feature", "page", "content"])
 
     rows = pages.select("url", "html").mapInArrow(features, "host string, path string, feature long, page long, content boolean")
-    k = rows.distinct().groupBy("host", "path", "content", "feature").agg(F.count("*").alias("k"))
-    m = rows.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m")).filter(F.col("m") >= PAGES)
+    rows = common.materialise(rows.distinct(), "style-features")
+    k = rows.groupBy("host", "path", "content", "feature").agg(F.count("*").alias("k"))
+    m = rows.select("host", "path", "page").distinct().groupBy("host", "path").agg(F.count("*").alias("m"))
     # content: one minus the mean entropy of the features; presentation: the entropy of the shapes
     by = k.groupBy("host", "path", "content").agg(F.count("*").alias("l"), F.sum(F.log("k")).alias("logs"), F.sum("k").alias("all"), F.sum(F.col("k") * F.log("k")).alias("klogs"))
     by = by.join(m, ["host", "path"])
-    own = F.when(F.col("content"), 1 - F.col("logs") / F.col("l") / F.log("m")).otherwise((F.log("all") - F.col("klogs") / F.col("all")) / F.log("m"))
+    span = F.log(F.greatest("m", F.lit(2)))
+    own = F.when(F.col("m") == 1, 1.0).when(F.col("content"), 1 - F.col("logs") / F.col("l") / span).otherwise((F.log("all") - F.col("klogs") / F.col("all")) / span)
     scored = by.select("host", "path", "content", "l", own.alias("importance"))
-    # composite: what stands below counts for a path too, damped by the distance
+    # composite: what stands below counts for a path too, damped by the distance, on however few pages it stands
     steps = F.split("path", "/")
     up = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(F.array_join(F.slice(steps, 1, i), "/").alias("path"), (F.size(steps) - i).alias("down")))
     below = scored.select("host", "l", "importance", "content", F.explode(up).alias("u")).select("host", "u.path", "content", (F.col("l") * F.pow(F.lit(DAMPING), "u.down")).alias("w"), "importance")
     # composite importance: presentation and, damped, the contents; branches without texts are left alone
     total = below.groupBy("host", "path").agg(F.sum(F.when(F.col("content"), F.col("w") * F.col("importance"))).alias("c"), F.sum(F.when(F.col("content"), F.col("w"))).alias("w"), F.max(F.when(~F.col("content"), F.col("importance"))).alias("p"))
-    low = total.join(m, ["host", "path"]).filter(F.col("w").isNotNull() & ((1 - DAMPING) * F.coalesce("p", F.lit(0.0)) + DAMPING * F.col("c") / F.col("w") < LEAST)).filter((F.length("path") - F.length(F.replace("path", F.lit("/")))) > 2)
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    low = total.join(m.filter(F.col("m") >= PAGES), ["host", "path"]).filter(F.col("w").isNotNull() & ((1 - DAMPING) * F.coalesce("p", F.lit(0.0)) + DAMPING * F.col("c") / F.col("w") < LEAST)).filter((F.length("path") - F.length(F.replace("path", F.lit("/")))) > 2)
+    out = common.materialise(low.groupBy("host").agg(F.collect_set("path").alias("low")), "style-tree")
+    common.forget(rows)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -217,7 +221,7 @@ def extract(pages: DataFrame) -> DataFrame:
     once for importance; columns besides the three are ignored; an empty table gives no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    low = common.materialise(low_branches(pages), "style-tree")
+    low = low_branches(pages)
     named = pages.select("page_id", "url", "html", host.alias("host"))
     counts = common.materialise(named.select("host").join(low, "host", "left_semi").groupBy("host").agg(F.count("*").alias("_n")).join(low, "host"), "style-low")
     if counts.limit(1).count():

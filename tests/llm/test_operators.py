@@ -337,6 +337,14 @@ def test_site_style_tree_cuts_what_a_host_repeats(spark):
     assert sitestyle.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_site_style_tree_counts_branches_of_single_pages(spark):
+    page = "<html><body><div class=content><div class=post-{0}><p>text number {0}</p></div><p class=note>Thank you for reading</p></div></body></html>"
+    few = "<html><body><div class=top><p>All rights reserved here</p></div><div class=main><p>text number {0}</p></div></body></html>"
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(30)] + [(100 + i, f"http://few.example/{i}", few.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in sitestyle.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text number {i % 100}" for i in (*range(30), 100, 101, 102)}
+
+
 # ---------------------------------------------------------------- vectors
 
 
