@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 
 
-def _gather(df: DataFrame, columns: list[str], order: Column) -> DataFrame:
-    """One row: `rows` (structs in order) and the width of each column, headings included."""
-    cells = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns), order.alias("_o"))
+def _gather(df: DataFrame, columns: list[str], order: Column, by: list[str] | None = None) -> DataFrame:
+    """One row (of each group of `by`): `rows` (structs in order) and the width of each column, headings included."""
+    cells = df.select(*(by or ()), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns), order.alias("_o"))
     widths = [F.greatest(F.max(T.display_width(F.col(c))), F.lit(len(c))).alias(f"_w{i}") for i, c in enumerate(columns)]
-    return cells.agg(F.array_sort(F.collect_list(F.struct("_o", *columns))).alias("rows"), *widths)
+    return cells.groupBy(*(by or ())).agg(F.array_sort(F.collect_list(F.struct("_o", *columns))).alias("rows"), *widths)
 
 
 def pipe_table(df: DataFrame, columns: list[str], aligns: list[str], order: Column) -> DataFrame:
@@ -28,12 +28,13 @@ def pipe_table(df: DataFrame, columns: list[str], aligns: list[str], order: Colu
     return g.select(F.array_join(F.concat(F.array(*head), lines), "\n").alias("tbl"))
 
 
-def simple_table(df: DataFrame, columns: list[str], order: Column) -> DataFrame:
-    g = _gather(df, columns, order)
+def simple_table(df: DataFrame, columns: list[str], order: Column, by: list[str] | None = None) -> DataFrame:
+    """One text, or the columns `by` and a text for each of their groups."""
+    g = _gather(df, columns, order, by)
     row = lambda cells: F.concat_ws("  ", *(T.pad(c, F.col(f"_w{i}"), "left") for i, c in enumerate(cells)))
     rule = F.concat_ws("  ", *(F.repeat(F.lit("-"), F.col(f"_w{i}")) for i in range(len(columns))))
     lines = F.transform("rows", lambda r: row([r[c] for c in columns]))
-    return g.select(F.array_join(F.concat(F.array(row([F.lit(c) for c in columns]), rule), lines), "\n").alias("tbl"))
+    return g.select(*(by or ()), F.array_join(F.concat(F.array(row([F.lit(c) for c in columns]), rule), lines), "\n").alias("tbl"))
 
 
 def html_table(df: DataFrame, columns: list[str], order: Column) -> DataFrame:

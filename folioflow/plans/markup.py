@@ -190,6 +190,17 @@ def simple_table_part(spark, sf_dir):
     return tables.simple_table(p, ["brand", "type"], F.col("p_partkey"))
 
 
+@query("""WITH w AS (SELECT p_brand, p_size, CAST(greatest(max(length(p_name)), 4) AS INTEGER) AS a, CAST(greatest(max(length(p_type)), 4) AS INTEGER) AS b FROM part GROUP BY ALL)
+SELECT p_brand, p_size, rpad('name', any_value(a), ' ') || '  ' || rpad('type', any_value(b), ' ') || chr(10) || repeat('-', any_value(a)) || '  ' || repeat('-', any_value(b)) || chr(10) ||
+ string_agg(rpad(p_name, a, ' ') || '  ' || rpad(p_type, b, ' '), chr(10) ORDER BY p_partkey) AS tbl FROM part JOIN w USING (p_brand, p_size) GROUP BY p_brand, p_size""")
+def simple_tables_part(spark, sf_dir):
+    """The whole table: a text table for each brand and size."""
+    from folioflow.operators import tables
+
+    p = read(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_name").alias("name"), F.col("p_type").alias("type"), "p_partkey")
+    return tables.simple_table(p, ["name", "type"], F.col("p_partkey"), ["p_brand", "p_size"])
+
+
 @query("""SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier""")
 def csv_parse_roundtrip(spark, sf_dir):
     """Rows are written as CSV texts (one a nation) and read back by the CSV reader."""

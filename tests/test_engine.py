@@ -389,3 +389,16 @@ def test_self_contained_pages():
     assert 'src="data:text/javascript;base64,MQ=="' in made and 'src="none.png"' in made
     css = embed.inline_css(files["c/s.css"][0].decode(), "c/s.css", files.get)
     assert "url(data:image/png;base64,WA==)" in css and "@import url(data:text/css" in css and "../i.png" in css
+
+
+def test_simple_tables_hold_every_row_of_part(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at, name = entry.SMOKE, "simple_tables_part"
+    got = sorted(map(tuple, entry.queries()[name](spark, at).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{at}/part.parquet')")
+    assert got == sorted(db.execute(entry.oracle_sql()[name]).fetchall())
+    assert sum(r[2].count("\n") - 1 for r in got) == spark.read.parquet(f"{at}/part.parquet").count()
