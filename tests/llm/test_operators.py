@@ -322,10 +322,78 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <aside>s</aside><div id="cookie-notice">c</div><footer>&copy; foot"""
 
 
-def test_main_text_of_a_page():
-    assert sitestyle.kept(PAGE, frozenset()) == "Head & tail\nOne two three\nNext ©\na\nb"
-    assert sitestyle.kept(None, frozenset()) == "" and sitestyle.kept("<a 'b <c", frozenset()) is not None
-    assert sitestyle.kept("<div><p>x</p><p hidden>y</p></div>", frozenset()) == "x"
+PAGES = "page_id long, url string, html string"
+
+
+def texts_of(spark, pages):
+    return {r.page_id: r.text for r in sitestyle.extract(spark.createDataFrame(pages, PAGES)).collect()}
+
+
+def test_main_text_of_a_page(spark):
+    odd = [PAGE, None, "<a 'b <c", "<div><p>x</p><p hidden>y</p></div>", "", "a<div>b<script>c", "<p>q" * 3000, "<div>" * 300 + "deep"]
+    got = texts_of(spark, [(i, None if i == 2 else f"http://h{i}/", p) for i, p in enumerate(odd)])
+    assert got == {0: "Head & tail\nOne two three\nNext ©\na\nb", 1: "", 2: "<a 'b <c", 3: "x", 4: "", 5: "a\nb", 6: "\n".join(["q"] * 3000), 7: "deep"}
+
+
+def brute_tree(pages):
+    """Composite importance of every node, recursively, from the definition; pages of one site."""
+    import math
+
+    seen = [sitestyle.Page(p) for p in dict.fromkeys(pages)]
+    first = lambda p: "1" if p.article else ""
+    paths = {first(p) + x for p in seen for x in p.edges}
+    m = {x: sum(x in {first(p) + y for y in p.edges} for p in seen) for x in paths}
+
+    def comp(x):
+        if x.endswith("/#"):
+            if m[x] == 1:
+                return 1.0
+            on = {}
+            for p in seen:
+                for t in {t for path, t in p.texts if first(p) + path + "/#" == x}:
+                    on[t] = on.get(t, 0) + 1
+            return 1 - sum(math.log(k, m[x]) for k in on.values()) / len(on)
+        count, total = {}, 0.0
+        for p in seen:
+            for (path, shape), n in p.shapes.items():
+                if first(p) + path == x:
+                    count[shape] = count.get(shape, 0) + n
+        every = sum(count.values())
+        for shape, n in count.items():
+            kids = shape.split(",") if shape else []
+            total += n / every * sum(comp(f"{x}/{k}") for k in kids) / max(len(kids), 1)
+        own = 1.0 if m[x] == 1 else min(1.0, -sum(n / every * math.log(n / every, m[x]) for n in count.values()))
+        damp = 0.9 ** len(count)
+        return (1 - damp) * own + damp * total
+
+    return {x: comp(x) for x in paths}
+
+
+def test_style_tree_equals_its_definition(spark):
+    rng = random.Random(11)
+    part = lambda: f"<div class=c{rng.randrange(3)}>" + "".join(f"<p>{rng.choice(['same', 'other', words(rng, 2)])}" for _ in range(rng.randrange(4))) + "</div>"
+    pages = ["<nav><ul><li>a<li>b</ul></nav>" + rng.choice(["", "<article>"]) + "".join(part() for _ in range(rng.randrange(4))) + words(rng, 1) + rng.choice(["", "<section><div>x</div></section>"]) for _ in range(25)]
+    pages += pages[:3]
+    got = {r.path: r.comp for r in sitestyle.tree(sitestyle.parse(spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], PAGES))).collect()}
+    want = brute_tree(pages)
+    assert sorted(got) == sorted(want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_style_tree_decides_without_declarations(spark, monkeypatch):
+    """No class names, no article: menus and notes that a large site repeats go by entropy alone, whatever their class."""
+    rng = random.Random(12)
+    menus, notes = [words(rng, 5) for _ in range(8)], [words(rng, 9) for _ in range(8)]
+    page = "<body><div class=x1><p>{}</div><div class=x2><h1>{}</h1><p>{}<p>{}</div><div class=x3>{}</div>"
+    rows = [(i, "http://big/", page.format(rng.choice(menus), words(rng, 4, 9999), words(rng, 30), words(rng, 30), rng.choice(notes))) for i in range(400)]
+    got = texts_of(spark, rows)
+    assert all(len(t.split("\n")) == 3 and not set(t.split("\n")) & {*menus, *notes} for t in got.values())
+    # and the list of telling class names is not what cuts: adverts that repeat go without it
+    monkeypatch.setattr(sitestyle, "CUES", frozenset())
+    sitestyle._styles.clear()
+    again = [(i, u, p.replace("x3", "ad")) for i, u, p in rows]
+    assert texts_of(spark, again) == got
+    sitestyle._styles.clear()
 
 
 def test_site_style_tree_cuts_what_a_host_repeats(spark):
