@@ -83,17 +83,22 @@ def skew_join(left: DataFrame, right: DataFrame, key: list[str], rows: str, tota
 THIN_BITS = 1 << 23
 
 
-def thin(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of left whose (long) key may be among keys: a bitmap of THIN_BITS bits at most is broadcast.
-
-    A saver of shuffled bytes only: rows whose key is not there may pass, so a join or semi join has to follow.
-    """
+def marked(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """left with _may: whether its (long) key may be among keys; a bitmap of THIN_BITS bits at most is broadcast."""
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(THIN_BITS))
     bits = keys.select(F.bitmap_bucket_number(h).alias("_b"), F.bitmap_bit_position(h).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_map"))
     at = left.withColumn("_b", F.bitmap_bucket_number(h)).withColumn("_p", F.bitmap_bit_position(h))
     byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright("_p", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     one = byte.bitwiseAND(F.pow(F.lit(2), F.col("_p") % 8).cast("int")) != 0
-    return at.join(F.broadcast(bits), "_b").filter(one).select(left.columns)
+    return at.join(F.broadcast(bits), "_b", "left").select(*left.columns, F.coalesce(one, F.lit(False)).alias("_may"))
+
+
+def thin(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose (long) key may be among keys.
+
+    A saver of shuffled bytes only: rows whose key is not there may pass, so a join or semi join has to follow.
+    """
+    return marked(left, keys, key).filter("_may").select(left.columns)
 
 
 def text_key(text: Column) -> list[Column]:

@@ -344,7 +344,7 @@ def tree(parsed: DataFrame) -> DataFrame:
         below = done.groupBy("host", parent.alias("path")).agg(F.sum(F.col("w") * F.col("comp")).alias("sum"), F.max("best").alias("most"))
     if not levels:
         return every.select("host", "path", "m", F.lit(1.0).alias("comp"), F.lit(1.0).alias("score"), F.lit(1.0).alias("best")).limit(0)
-    out = common.materialise(reduce(DataFrame.unionByName, levels).drop("w"), "style-tree", clean=False)
+    out = common.materialise(reduce(DataFrame.unionByName, levels).drop("w"), "style-tree")
     for x in (every, *levels):
         common.forget(x)
     return out
@@ -355,16 +355,24 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html gives an empty text; pages without a host (null or odd url) form one site; identical pages of a site count
     once for importance; every row has its result, repeated ones too; columns besides the three are ignored; an empty
-    table gives no rows. Every page is parsed once. What goes is joined to a page by (host, path); paths that many pages
-    share are hot keys (see skew_join), and a page's own list comes back to it by its number.
+    table gives no rows. Every page is parsed once; a page of any length is one row. What goes is joined by (host, path):
+    paths that at least one in HOT_SHARE pages has are broadcast, HOT_SHARE times the paths of a page at most.
     """
     parsed = common.materialise(parse(pages), "style-pages")
     low = tree(parsed).filter(F.col("best") < LEAST).select("host", "path")
     mine = parsed.select("uid", "host", F.explode(F.array_distinct(F.transform("of", lambda i: F.element_at("paths", i + 1)))).alias("path"))
-    counted = common.materialise(mine.groupBy("host", "path").agg(F.count("*").alias("_n")).join(low, ["host", "path"], "left_semi"), "style-low", clean=False)
-    cut = common.skew_join(mine, counted, ["host", "path"], "_n", parsed.count()).groupBy("uid").agg(F.collect_list("path").alias("cut"))
-    left = parsed.select("uid", "page_id", "url", "paths", "of", "texts").join(cut, "uid", "left")
-    gone = F.transform("paths", lambda p: F.array_contains("cut", p))
+    counted = mine.groupBy("host", "path").agg(F.count("*").alias("_n")).join(low, ["host", "path"], "left_semi")
+    counted = common.materialise(counted, "style-low")
+    limit = max(64, parsed.count() // common.HOT_SHARE)
+    # of paths that many pages share there are few: they go to all pages; the others come back to their pages by number
+    hot = F.broadcast(counted.filter(F.col("_n") >= limit).groupBy("host").agg(F.collect_list("path").alias("hot")))
+    cold = mine.join(counted.filter(F.col("_n") < limit).hint("merge"), ["host", "path"]).groupBy("uid").agg(F.collect_list("path").alias("cold"))
+    cold = common.materialise(cold, "style-cold")
+    sides = common.marked(parsed.select("uid", "page_id", "url", "host", "paths", "of", "texts"), cold, "uid")
+    left = sides.filter("_may").join(cold, "uid", "left").unionByName(sides.filter("NOT _may").withColumn("cold", F.lit(None).cast("array<string>")))
+    left = left.join(hot, "host", "left")
+    gone = F.transform("paths", lambda p: F.coalesce(F.array_contains("hot", p), F.lit(False)) | F.coalesce(F.array_contains("cold", p), F.lit(False)))
     kept = F.filter("texts", lambda t, i: ~F.element_at("gone", F.element_at("of", i + 1) + 1))
-    text = F.array_join(F.when(F.col("cut").isNull(), F.col("texts")).otherwise(kept), "\n")
+    some = F.col("hot").isNotNull() | F.col("cold").isNotNull()
+    text = F.array_join(F.when(some, kept).otherwise(F.col("texts")), "\n")
     return left.withColumn("gone", gone).select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
