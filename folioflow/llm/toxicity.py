@@ -37,12 +37,12 @@ DISCOUNTS, PAIR_DISCOUNTS = (1.0, 1.5, 2.0), (1.0, 2.0, 3.0)
 CONTEXT_BITS = 14
 #: Share of toxic words in a toxic text; a short text counts as if it had USUAL words of the usual score besides.
 SHARE, USUAL = 0.02, 8
-#: Expressions of a block of the model (12 bytes each), about; slices of a batch that are looked up in one pass over the blocks.
-BLOCK, GROUP = 1 << 21, 16
+#: Expressions of a block of the model (12 bytes each), about; slices of a batch that are looked up in one pass over several blocks.
+BLOCK, GROUP = 1 << 21, 6
 #: Flags that tell a block's expressions from most others.
 FLAGS = 1 << 22
 #: Pairs that a task holds before it merges them, and passes them on where that does not halve them.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Labelled texts that the two numbers of the logistic curve are fitted on, about, at most (those with the smallest hashes).
 CURVE_ROWS = 8000
 THRESHOLD = 0.3
@@ -296,9 +296,9 @@ class Model:
         return out
 
     def scored(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        """Slices of a batch with the features of their texts; GROUP slices are looked up together."""
+        """Slices of a batch with the features of their texts; with several blocks GROUP slices are looked up together."""
         parts = common.text_chunks(batch)
-        while group := list(islice(parts, GROUP)):
+        while group := list(islice(parts, GROUP if len(self.blocks) > 1 else 1)):
             yield from zip((p for p, _ in group), self.features([t for _, t in group]), strict=True)
 
     def unpersist(self) -> None:
