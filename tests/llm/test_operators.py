@@ -101,10 +101,28 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 16, 211])
+def test_padding_does_not_depend_on_partitions(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = packing.pack(docs.repartition(parts)).select("sequence_id", "length").collect()
+    size = {}
+    for r in rows:
+        size[r.sequence_id] = size.get(r.sequence_id, 0) + r.length
+    padding = sum(4096 - n for n in size.values() if n & (n - 1))
+    assert padding < 0.01 * sum(size.values())
+
+
+def test_packing_in_several_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", 3000)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 2000)
+    test_packing(docs, docs.limit(0))
+
+
 def test_packing_fills_windows():
     rng = random.Random(1)
     lengths = [rng.choice([1, 5, 300, 900, 2500, 4096, 9000]) for _ in range(500)]
-    made = packing.pack_bucket(lengths)
+    made, rest = packing.pack_bucket(lengths)
+    assert not rest
     total = [sum(p[2] for p in ps) for _, ps in made]
     assert sum(total) == sum(lengths)
     assert sum(t & (t - 1) != 0 for t in total) <= 1
