@@ -513,16 +513,24 @@ def test_nearest(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), 100).count() == 0
 
 
-def test_recall(spark):
+def test_recall_is_the_same_for_any_partitions(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(12000, 32)).astype(np.float32)
-    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(2), 600).collect()
+    x[1000:5000] = x[77]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     y = x.astype(np.float64)
+    results = []
+    for parts in (1, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(tuple, ann.nearest(rows, 600).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert results[0] == results[1]
     hit = 0
     for q in range(0, 12000, 600):
         d = ((y - y[q]) ** 2).sum(1)
         d[q] = np.inf
-        hit += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(d)[:10].tolist()))
+        best = np.lexsort((np.arange(len(d)), np.sqrt(d)))[:10]
+        hit += len({r[2] for r in results[0] if r[0] == q} & set(best.tolist()))
     assert hit / 200 >= 0.9
 
 
