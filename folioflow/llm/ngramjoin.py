@@ -1,14 +1,16 @@
 """Exact Jaccard self-join of word-shingle sets by vertical partitioning.
 
-Equal sets are one class. All shingles stand in one global order (frequency level from a sketch of all documents, then
-hash), cut into fragments by hash; what a fragment says is counted on its own and summed.
-1. Sifting: in each fragment a shingle that only one class has is found; a class needs 75 per cent of its set shared, so
-   the sums over fragments drop most documents before anything else is shuffled. Repeated among the classes left.
-2. Leader rounds: of the classes that share a prefix shingle the one with the largest shared part leads; each class is
-   verified against the leader with which it shares most. These links join near copies without listing all their pairs.
+Equal sets are one class. All shingles stand in one global order; vertical cuts divide every set into the same fragments,
+what a fragment says is counted on its own, and the partial counts are summed.
+1. Sifting (order: hash): in each fragment a shingle that only one row has is found; a class needs 75 per cent of its set
+   shared, so the sums over fragments drop most documents before anything else is shuffled. Repeated among the classes left.
+2. Leader rounds (order: frequency level from a sketch, then hash): of the classes that share a prefix shingle the one with
+   the largest shared part leads; each class is verified against the leader with which it shares most. These links join near
+   copies without listing all their pairs.
 3. The rest: pairs that share a prefix shingle and are not joined yet, thinned by exact bounds on size and difference.
 The prefix (first 30 per cent of a set in the global order) is long enough that linked classes share a shingle in it.
-Verification counts partial overlaps of a pair for each fragment and sums them.
+Verification: FRAGMENTS vertical cuts at quantiles of the order; each fragment of each pair yields its partial overlap, and
+the sum over a pair's fragments decides. A fragment's size is bounded, so a pair of very long sets is no task of its own.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from folioflow.llm import common, graph
 WORDS, THRESHOLD = 5, 75  # shingle length, similarity in hundredths
 #: Counters of the frequency sketch (one byte each is broadcast) and the counters of one shuffled row.
 SLOTS, ROW_SLOTS = 1 << 21, 1 << 12
-#: The global order is cut into this many fragments for counting overlaps; sets of at most WHOLE shingles are one fragment.
-FRAGMENTS, WHOLE = 8, 4096
+#: The global order is cut into this many fragments for counting the overlaps of pairs.
+FRAGMENTS = 8
+#: Shingles of a fragment of the sieve, about (a task holds one); slots of the sieve's sketch, and how many times the mean
+#: a slot has to be met (and at least how often) to count as shared without being shuffled.
+SIEVE_ROWS, HOT_SLOTS, HOT_TIMES, HOT_LEAST = 1 << 22, 1 << 18, 16, 1 << 12
 LEADER_ROUNDS = 2
 #: Times that the sieve is repeated among the classes left.
 SIFT_ROUNDS = 2
@@ -46,8 +51,9 @@ def shingles(texts: list[str | None]) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """For each slot of the sketch how many times (log2) it exceeds the mean, over all shingles of all documents."""
+def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot of the sketch how many times (log2) it exceeds the mean, over all shingles of all documents; and the
+    keys at which the order is cut, so that fragments hold equal shares of the shingles."""
     chunk_type = np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +79,13 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     for r in summed:
         table[r.part] = np.frombuffer(r.counts, chunk_type)
     table = table.ravel()
-    return np.clip(np.log2(np.maximum(table / max(table.mean(), 1.0), 1.0)), 0, 7).astype(np.uint8)
+    levels = np.clip(np.log2(np.maximum(table / max(table.mean(), 1.0), 1.0)), 0, 7).astype(np.uint8)
+    mass = np.cumsum(np.bincount(levels, table, 8)) / max(table.sum(), 1.0)
+    at = np.arange(1, FRAGMENTS) / FRAGMENTS
+    level = np.minimum(np.searchsorted(mass, at), 7)  # within a level keys are spread evenly
+    before = np.concatenate([[0.0], mass])[level]
+    part = (at - before) / np.maximum(mass[level] - before, 1e-12)
+    return levels, (level.astype(np.int64) << 60) + (np.clip(part, 0, 0.999999) * 2.0**60).astype(np.int64)
 
 
 def ordered_sets(texts: list[str | None], levels: np.ndarray) -> list[np.ndarray]:
@@ -85,10 +97,13 @@ def ordered_sets(texts: list[str | None], levels: np.ndarray) -> list[np.ndarray
     return out
 
 
-def class_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = int(np.sum(common.mix(s.view(np.uint64)))) + len(s) * 0x9E3779B97F4A7C15
-    return int(common.mix(np.array([total & (2**64 - 1)], np.uint64)).view(np.int64)[0])
+def class_id(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set."""
+    x = s.view(np.uint64)
+    size = np.uint64(len(s))
+    parts = [np.sum(common.mix(x)), np.sum(common.mix(x ^ np.uint64(0xA0761D6478BD642F)))]
+    name = common.mix(np.array(parts, np.uint64) + size * np.array([0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB], np.uint64))
+    return tuple(name.view(np.int64).tolist())
 
 
 def prefix_length(n: int) -> int:
@@ -101,43 +116,80 @@ def raw_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def name_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n and cid of every document."""
+    """doc_id, n, c1 and c2 of every document; besides, rows with part and counts: a task's sketch of all its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(HOT_SLOTS, np.int64)
         for b in batches:
             for part, texts in common.text_chunks(b):
                 sets = raw_sets(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_id(s) for s in sets], pa.int64())], ["doc_id", "n", "cid"])
+                table += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(HOT_SLOTS - 1)).astype(np.int64), minlength=HOT_SLOTS)
+                names = np.array([class_id(s) for s in sets], np.int64).reshape(-1, 2)
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "c1", "c2", "part", "counts"])
+        rows = np.minimum(table, 2**32 - 1).astype(np.uint32).reshape(-1, ROW_SLOTS)
+        some = np.flatnonzero(rows.any(1))
+        none = [pa.nulls(len(some), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some.astype(np.int32)), pa.array([r.tobytes() for r in rows[some]], pa.binary())], ["doc_id", "n", "c1", "c2", "part", "counts"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, part int, counts binary")
+
+
+def hot_slots(named: DataFrame) -> tuple[np.ndarray, int]:
+    """Slots of the sketch that are met far more often than others, and how many shingles there are in all."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid long")
+    parts = named.filter(F.col("part").isNotNull()).select("part", "counts").repartition(common.partitions(named.sparkSession), "part")
+    table = np.zeros((HOT_SLOTS // ROW_SLOTS, ROW_SLOTS), np.int64)
+    for r in parts.mapInArrow(add, "part int, counts binary").collect():
+        table[r.part] = np.frombuffer(r.counts, np.int64)
+    table = table.ravel()
+    return table > max(HOT_LEAST, HOT_TIMES * table.mean()), int(table.sum())
 
 
-def shared_counts(texts: DataFrame) -> DataFrame:
-    """cid, n, s of texts (text): size of each set, and how many of its shingles another row has too.
+def shared_counts(texts: DataFrame, hot: np.ndarray, total: int, named: bool) -> DataFrame:
+    """c1, c2, n, s of texts (c1, c2, text): size of each set, and how many of its shingles another row has too.
 
-    Shingles travel as 32-bit prints in one blob for each chunk of texts and fragment; two that agree in print and fragment
-    by chance only make s larger, which keeps the sieve exact. Equal rows count as two.
+    Without names (named is False) a row is called by its set's name. Shingles travel as 32-bit prints in one blob for each
+    chunk of texts and fragment; two that agree in print and fragment by chance only make s larger, which keeps the sieve
+    exact, and so do shingles of hot slots, which count as shared and stay at home. Equal rows count as two. A task holds
+    one fragment; the number of fragments grows with the number of shingles (total).
     """
-    parts = common.partitions(texts.sparkSession)
+    spark = texts.sparkSession
+    parts = max(common.partitions(spark), -(-total // SIEVE_ROWS))
+    hot_at = spark.sparkContext.broadcast(hot)
+    four = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), four, strict=True)], ["chunk", "frag", "x", "y"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            for _, some in common.text_chunks(b):
+            for part, some in common.text_chunks(b):
                 sets = raw_sets(some)
                 n = np.array([len(s) for s in sets], np.int64)
                 h = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 doc = np.repeat(np.arange(len(sets)), n)
+                sure = hot_at.value[(h & np.uint64(HOT_SLOTS - 1)).astype(np.int64)]
+                names = np.stack([part.column(c).to_numpy() for c in (0, 1)], 1) if named else np.array([class_id(s) for s in sets], np.int64).reshape(-1, 2)
+                rows = [(chunk, -1, names.tobytes(), np.concatenate([n, np.bincount(doc[sure], minlength=len(sets))]).tobytes())]
+                h, doc = h[~sure], doc[~sure]
                 frag = (h % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(frag, kind="stable")
                 cuts = np.searchsorted(frag[order], np.arange(parts + 1))
                 prints, doc = ((h >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], doc.astype(np.uint32)[order]
-                rows = [(chunk, -1, np.array([class_id(s) for s in sets], np.int64).tobytes(), n.tobytes())]
                 rows += [(chunk, f, prints[i:j].tobytes(), np.diff(doc[i:j], prepend=np.uint32(0)).astype(np.uint32).tobytes()) for f, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
                 chunk += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "frag", "x", "y"])
+                yield table(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes, bytes]]] = {}
@@ -149,7 +201,7 @@ def shared_counts(texts: DataFrame) -> DataFrame:
                 else:
                     held.setdefault(frag, []).append((chunk, x, y))
             if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*heads, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "frag", "x", "y"])
+                yield table(heads)
         for frag in list(held):
             blobs = held.pop(frag)
             every = np.concatenate([np.frombuffer(x, np.uint32) for _, x, _ in blobs])
@@ -164,34 +216,30 @@ def shared_counts(texts: DataFrame) -> DataFrame:
                 doc = np.cumsum(np.frombuffer(y, np.uint32).astype(np.int64))
                 rows.append((chunk, frag, np.bincount(doc[shared[at : at + m]]).astype(np.uint32).tobytes(), b""))
                 at += m
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["chunk", "frag", "x", "y"])
+            yield table(rows)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[int, tuple[bytes, bytes]] = {}
-        sums: dict[int, np.ndarray] = {}
+        """Rows come by chunk, a chunk's names first: one chunk is held at a time."""
+        names, n, s, at = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(n), pa.array(s)], ["c1", "c2", "n", "s"])
         for b in batches:
             for chunk, frag, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if frag < 0:
-                    heads[chunk] = x, y
+                    if at is not None:
+                        yield done()
+                    names, both, at = np.frombuffer(x, np.int64).reshape(-1, 2), np.frombuffer(y, np.int64), chunk
+                    n, s = both[: len(names)], both[len(names) :].copy()
                 else:
-                    v = np.frombuffer(x, np.uint32).astype(np.int64)
-                    old = sums.get(chunk, np.zeros(0, np.int64))
-                    if len(old) < len(v):
-                        old, v = v, old
-                    old = old.copy()
-                    old[: len(v)] += v
-                    sums[chunk] = old
-        for chunk, (x, y) in heads.items():
-            cid, n = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            s = np.zeros(len(n), np.int64)
-            got = sums.get(chunk, s[:0])
-            s[: len(got)] = got
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n), pa.array(s)], ["cid", "n", "s"])
+                    v = np.frombuffer(x, np.uint32)
+                    s[: len(v)] += v
+        if at is not None:
+            yield done()
 
     kinds = "chunk long, frag int, x binary, y binary"
     to = F.when(F.col("frag") < 0, F.pmod(F.col("chunk"), F.lit(parts)).cast("int")).otherwise(F.col("frag"))
-    fragments = texts.select("text").mapInArrow(cut, kinds).repartitionById(parts, to)
-    return fragments.mapInArrow(count, kinds).repartition(parts, "chunk").mapInArrow(add, "cid long, n long, s long")
+    fragments = texts.select("c1", "c2", "text").mapInArrow(cut, kinds).repartitionById(parts, to)
+    by_chunk = fragments.mapInArrow(count, kinds).repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk", "frag")
+    return by_chunk.mapInArrow(add, "c1 long, c2 long, n long, s long")
 
 
 def profile(texts: DataFrame, shared) -> DataFrame:
@@ -200,7 +248,7 @@ def profile(texts: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, some in common.text_chunks(b):
-                sets = ordered_sets(some, shared.value)
+                sets = ordered_sets(some, shared.value[0])
                 prefix = pa.array([s[: prefix_length(len(s))] for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), part.column(1), prefix], ["cid", "n", "s", "prefix"])
 
@@ -215,14 +263,10 @@ def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
         for b in batches:
             for part, some in common.text_chunks(b):
                 cids, frags, keys = [], [], []
-                for cid, s in zip(part.column(0).to_pylist(), ordered_sets(some, shared.value), strict=True):
-                    if len(s) <= WHOLE:
-                        cids.append(cid)
-                        frags.append(-1)
-                        keys.append(s.tobytes())
-                    if 100 * len(s) > THRESHOLD * WHOLE:  # it may be paired with a set that is cut
-                        at = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << np.int64(57))
-                        for k, x in enumerate(np.split(s, at)):
+                levels, cuts = shared.value
+                for cid, s in zip(part.column(0).to_pylist(), ordered_sets(some, levels), strict=True):
+                    for k, x in enumerate(np.split(s, np.searchsorted(s, cuts))):
+                        if len(x):
                             cids.append(cid)
                             frags.append(k)
                             keys.append(x.tobytes())
@@ -231,8 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     segments = texts.select("cid", "text").join(need, "cid", "left_semi").mapInArrow(cut, "cid long, frag int, keys binary")
     segments = common.materialise(segments, "join-segments")
     side = lambda c: segments.select(F.col("cid").alias(c), "frag", F.col("keys").alias(f"k{c}"))
-    whole = F.greatest("na", "nb") <= WHOLE
-    both = pairs.join(side("a"), "a").filter(whole == (F.col("frag") < 0)).join(side("b"), ["b", "frag"])
+    both = pairs.join(side("a"), "a").join(side("b"), ["b", "frag"])
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,41 +323,50 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
     """
     room = F.floor(F.col("s") * 7 / 3 + 1e-9) - F.col("n")
     most = F.max(room).alias("_room")
-    many = tokens.groupBy("h").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min("n").alias("_least"), most).filter("_x <> _y").select("h", "_least", "_room")
-    found = tokens.join(many.hint("merge"), "h")
+    many = tokens.groupBy("h").agg(F.count("*").alias("_n"), F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min("n").alias("_least"), most).filter("_x <> _y").select("h", "_n", "_least", "_room")
+    many = common.materialise(many, "join-many", clean=False)
+    found = common.skew_join(tokens, many, ["h"], "_n", tokens.count())
     return found.filter((F.col("_least") <= room) & (F.col("_room") >= F.col("n"))).select(tokens.columns)
 
 
-def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Of docs (doc_id, text): the documents (doc_id, n, cid) and the links (a, b) found between classes cid.
+def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, text): the documents (doc_id, n, c1, c2), numbers (cid) of classes (c1, c2), and links (a, b) of cids.
 
-    The links suffice for the components; pairs that are already joined are not all listed.
+    The links suffice for the components; pairs that are already joined are not all listed. Classes without a number have
+    no links.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    name = ["c1", "c2"]
     known = common.materialise(name_sets(docs), "join-names")
+    hot, total = hot_slots(known)
+    known = known.filter(F.col("part").isNull()).select("doc_id", "n", *name)
     enough = (F.col("n") > 0) & (100 * F.col("s") >= THRESHOLD * F.col("n"))
-    left = common.materialise(shared_counts(docs).filter(enough).select("cid").distinct(), "join-sieve")
-    reps = known.join(left, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    nobody = [F.lit(0).cast("long").alias(c) for c in name]
+    left = common.materialise(shared_counts(docs.select(*nobody, "text"), hot, total, False).filter(enough).select(name).distinct(), "join-sieve")
+    reps = known.join(left, name, "left_semi").groupBy(name).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     reps = common.materialise(reps, "join-reps")
-    texts = common.thin(docs.filter(F.col("doc_id").isNotNull()), reps.filter(F.col("doc_id").isNotNull()), "doc_id").join(reps, "doc_id").select("cid", "text")
-    nameless = docs.filter(F.col("doc_id").isNull()).withColumn("cid", F.lit(None).cast("long")).select("cid", "text")
-    wanted = reps.filter(F.col("doc_id").isNull()).select("cid")
+    texts = common.thin(docs.filter(F.col("doc_id").isNotNull()), reps.filter(F.col("doc_id").isNotNull()), "doc_id").join(reps, "doc_id").select(*name, "text")
+    nameless = docs.filter(F.col("doc_id").isNull()).select(*(F.lit(None).cast("long").alias(c) for c in name), "text")
+    wanted = reps.filter(F.col("doc_id").isNull()).select(name)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, some in common.text_chunks(b):
                 own = [class_id(s) for s in raw_sets(some)]
-                keep = pa.array([c is None or c == o for c, o in zip(part.column(0).to_pylist(), own, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), part.column(1)], ["cid", "text"]).filter(keep)
+                keep = pa.array([x is None or (x, y) == o for x, y, o in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), own, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in own], pa.int64()), pa.array([o[1] for o in own], pa.int64()), part.column(2)], ["c1", "c2", "text"]).filter(keep)
 
-    kinds = "cid long, text string"  # a doc_id that repeats may bring other texts: only those of the class stay
-    texts = texts.mapInArrow(check, kinds).unionByName(nameless.mapInArrow(check, kinds).join(wanted, "cid", "left_semi"))
-    texts = common.materialise(texts.dropDuplicates(["cid"]), "join-texts")
+    kinds = "c1 long, c2 long, text string"  # a doc_id that repeats may bring other texts: only those of the class stay
+    texts = texts.mapInArrow(check, kinds).unionByName(nameless.mapInArrow(check, kinds).join(wanted, name, "left_semi"))
+    texts = common.materialise(texts.dropDuplicates(name).withColumn("cid", F.monotonically_increasing_id()), "join-texts")
+    ids = common.materialise(texts.select("cid", *name), "join-ids", clean=False)
     for _ in range(SIFT_ROUNDS):
-        again = common.materialise(shared_counts(texts).filter(enough).select("cid", "s"), "join-sieve")
+        again = shared_counts(texts.select(F.col("cid").alias("c1"), F.lit(0).cast("long").alias("c2"), "text"), hot, total, True)
+        again = common.materialise(again.filter(enough).select(F.col("c1").alias("cid"), "s"), "join-sieve")
         old, texts = texts, common.materialise(texts.select("cid", "text").join(again, "cid"), "join-texts")
         common.forget(old)
+        common.forget(again)
     shared = spark.sparkContext.broadcast(frequency_levels(texts))
     tokens = profile(texts, shared).select("cid", "n", "s", F.explode("prefix").alias("h")).withColumn("comp", F.col("cid"))
     before = Window.partitionBy("cid").orderBy("h")
@@ -335,8 +387,9 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     for k in range(LEADER_ROUNDS):
         live = common.materialise(shared_tokens(relabelled()), "join-live") if k else tokens
         order = F.struct(F.floor(F.col("s") * 200 / F.col("n")).alias("f"), F.xxhash64("cid", F.lit(k)).alias("o"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"))
-        lead = live.groupBy("h").agg(F.max(order).alias("l")).select("h", "l.a", "l.na", "l.sa", "l.ca")
-        pairs = live.join(lead, "h").filter((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")) & fits(F.col("s"), F.col("n"), F.col("sa"), F.col("na")))
+        lead = live.groupBy("h").agg(F.max(order).alias("l"), F.count("*").alias("_n")).select("h", "_n", "l.a", "l.na", "l.sa", "l.ca")
+        lead = common.materialise(lead, "join-lead", clean=False)
+        pairs = common.skew_join(live, lead, ["h"], "_n", live.count()).filter((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")) & fits(F.col("s"), F.col("n"), F.col("sa"), F.col("na")))
         strong = pairs.groupBy("cid", "n", "a", "na").agg(F.count("*").alias("c")).filter(20 * F.col("c") >= F.least("n", "na") * 0.3)
         best = strong.groupBy("cid", "n").agg(F.max(F.struct("c", "a", "na")).alias("l")).select(F.col("l.a").alias("a"), F.col("l.na").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
         best = common.materialise(best, "join-pairs")
@@ -357,24 +410,26 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     new = verified(rest, texts, shared)
     for df in (tokens, live, texts):
         common.forget(df)
-    return known, links.unionByName(new)
+    return known, ids, links.unionByName(new)
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable over links) of each document.
 
     Null texts and texts without words have no shingles and no links; their component is themselves. Equal sets link.
-    Rows that repeat are in one component. A null doc_id takes the smallest id of its component, if any. Other columns
+    Rows that repeat are in one component. Texts of any length are compared whole. A null doc_id takes the smallest id of its component, if any. Other columns
     are ignored; an empty table gives no rows.
     """
-    known, links = similar_sets(docs)
-    comps = graph.components(links)
-    classes = known.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"))
-    labelled = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    of = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("_n").alias("_rows"))
+    known, ids, links = similar_sets(docs)
+    comps = graph.components(links).withColumnRenamed("node", "cid")
+    name = ["c1", "c2"]
+    classes = common.materialise(known.filter("n > 0").groupBy(name).agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "join-known", clean=False)
+    linked = classes.join(ids.join(comps, "cid"), name)
+    of = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = common.materialise(linked.join(of, "component").select(*name, "component_id", "_n"), "join-linked", clean=False)
     # classes of one document that link to nothing need no join
-    joined = labelled.join(of.filter("_rows > 1"), "component").select("cid", "component_id", "_n")
-    joined = common.materialise(joined, "join-classes")
-    out = common.skew_join(known, joined, ["cid"], "_n", known.count(), "left")
+    alone = classes.filter("_n > 1").join(linked.select(name), name, "left_anti").select(*name, F.col("least").alias("component_id"), "_n")
+    joined = common.materialise(linked.unionByName(alone), "join-classes")
+    out = common.skew_join(known, joined, name, "_n", known.count(), "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
