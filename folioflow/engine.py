@@ -102,6 +102,9 @@ def convert(docs: DataFrame, source: str, target: str, key: str = "doc_id", text
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # trees hold no cycles: what a document needed is freed with it
         for b in batches:
             out, errors = [], []
             for s in b.column(1).to_pylist():

@@ -17,9 +17,15 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; set to a local one only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset a temporary folder serves a session whose driver and executors are one machine's; on a cluster this
+    raises, as every executor would write to a folder of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: the operators need a folder that driver and executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="folioflow-")
@@ -230,14 +236,14 @@ def open_fs(uri: str):
 
 
 def publish(uri: str, data_writer) -> None:
-    """Writes a file under a private name and moves it to its own: a task that is run again replaces it whole."""
+    """Writes a file under a private name and moves it to its own, which no other attempt of the task may use."""
     from pyarrow import fs as pafs
 
     fs, path = open_fs(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        raise FileExistsError(uri)
     mine = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(mine, compression=None) as out:
         data_writer(out)
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
     fs.move(mine, path)

@@ -323,9 +323,8 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
     """
     room = F.floor(F.col("s") * 7 / 3 + 1e-9) - F.col("n")
     most = F.max(room).alias("_room")
-    many = tokens.groupBy("h").agg(F.count("*").alias("_n"), F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min("n").alias("_least"), most).filter("_x <> _y").select("h", "_n", "_least", "_room")
-    many = common.materialise(many, "join-many", clean=False)
-    found = common.skew_join(tokens, many, ["h"], "_n", tokens.count())
+    many = tokens.groupBy("h").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.min("n").alias("_least"), most).filter("_x <> _y").select("h", "_least", "_room")
+    found = tokens.join(many.hint("merge"), "h")
     return found.filter((F.col("_least") <= room) & (F.col("_room") >= F.col("n"))).select(tokens.columns)
 
 
@@ -344,7 +343,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     enough = (F.col("n") > 0) & (100 * F.col("s") >= THRESHOLD * F.col("n"))
     nobody = [F.lit(0).cast("long").alias(c) for c in name]
     left = common.materialise(shared_counts(docs.select(*nobody, "text"), hot, total, False).filter(enough).select(name).distinct(), "join-sieve")
-    reps = known.join(left, name, "left_semi").groupBy(name).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    reps = known.groupBy(name).agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(left, name, "left_semi")
     reps = common.materialise(reps, "join-reps")
     texts = common.thin(docs.filter(F.col("doc_id").isNotNull()), reps.filter(F.col("doc_id").isNotNull()), "doc_id").join(reps, "doc_id").select(*name, "text")
     nameless = docs.filter(F.col("doc_id").isNull()).select(*(F.lit(None).cast("long").alias(c) for c in name), "text")

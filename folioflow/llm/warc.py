@@ -130,13 +130,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
 
     Of rows with equal payloads of at least `least` bytes the one with the largest page_id is a response, the others are
     revisits of it (rows that repeat this page_id are responses too). A row without page_id is a response. Null html is
-    an empty payload, null url leaves out the target. Other columns are ignored. An empty table gives empty archives or none.
+    an empty payload, null url leaves out the target; a payload of any length is one record. Other columns are ignored. An
+    empty table gives empty archives or none. Files that are not listed are of attempts that were given up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        # rows of a shuffled partition come in any order: another attempt may cut archives elsewhere, so it names its own
+        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
         files, row = [], next(rows, None)
         while row is not None:
@@ -153,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     row = next(rows, None)
                     yield made
 
-            path, n = f"{folder}/part-{part:06d}-{len(files):04d}.warc.zst", []
+            path, n = f"{folder}/part-{part:06d}-{attempt:08d}-{len(files):04d}.warc.zst", []
             common.publish(path, lambda out: n.append(write_archive(out, records())))
             files.append((path, n[0]))
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64())], ["path", "records"])

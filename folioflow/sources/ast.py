@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -23,26 +24,26 @@ def document(blocks: list[Node], meta: dict[str, Any] | None = None) -> dict[str
     return {"pandoc-api-version": API_VERSION, "meta": meta or {}, "blocks": blocks}
 
 
+_BLANKS = re.compile(r"([ \t\n]+)")
+#: Shared nodes: nobody changes a blank in place.
+SPACE, SOFT_BREAK = {"t": "Space"}, {"t": "SoftBreak"}
+
+
 def text_inlines(s: str) -> list[Node]:
     """Words as Str, blanks as Space, line ends as SoftBreak."""
-    out: list[Node] = []
-    word = ""
-    for ch in s:
-        if ch in " \t\n":
-            if word:
-                out.append(node("Str", word))
-                word = ""
-            kind = "SoftBreak" if ch == "\n" else "Space"
-            if out and out[-1]["t"] in ("Space", "SoftBreak"):
-                if kind == "SoftBreak":
-                    out[-1] = node("SoftBreak")
-            else:
-                out.append(node(kind))
-        else:
-            word += ch
-    if word:
-        out.append(node("Str", word))
-    return out
+    if "\n" not in s and "\t" not in s and "  " not in s:
+        words = s.split(" ")
+        blanks = [SPACE] * (len(words) - 1)
+    else:
+        parts = _BLANKS.split(s)
+        words = parts[::2]
+        blanks = [SOFT_BREAK if "\n" in x else SPACE for x in parts[1::2]]
+    out: list[Node] = [SPACE] * (2 * len(words) - 1)
+    out[::2] = [{"t": "Str", "c": w} for w in words]
+    out[1::2] = blanks
+    if not words[-1]:
+        out.pop()
+    return out if words[0] else out[1:]
 
 
 def trim(inlines: list[Node]) -> list[Node]:
@@ -57,14 +58,19 @@ def trim(inlines: list[Node]) -> list[Node]:
 def merge(inlines: list[Node]) -> list[Node]:
     """Adjacent Str as one, adjacent blanks as one."""
     out: list[Node] = []
+    last = ""
     for n in inlines:
-        if out and n["t"] == "Str" == out[-1]["t"]:
-            out[-1] = node("Str", out[-1]["c"] + n["c"])
-        elif out and n["t"] in ("Space", "SoftBreak") and out[-1]["t"] in ("Space", "SoftBreak"):
-            if n["t"] == "SoftBreak":
-                out[-1] = n
-        else:
-            out.append(n)
+        t = n["t"]
+        if t == "Str":
+            if last == "Str":
+                out[-1] = {"t": "Str", "c": out[-1]["c"] + n["c"]}
+                continue
+        elif (t == "Space" or t == "SoftBreak") and (last == "Space" or last == "SoftBreak"):
+            if t == "SoftBreak":
+                out[-1], last = n, t
+            continue
+        out.append(n)
+        last = t
     return out
 
 

@@ -17,12 +17,13 @@ ENDS_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption".split(
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 INLINE = {"em": "Emph", "i": "Emph", "strong": "Strong", "b": "Strong", "u": "Underline", "ins": "Underline", "s": "Strikeout", "strike": "Strikeout", "del": "Strikeout", "sup": "Superscript", "sub": "Subscript"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIP = frozenset("head script style template noscript".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*)>|<[!?][^>]*>""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     at: dict[str, str] = field(default_factory=dict)
@@ -33,19 +34,22 @@ def tree(text: str) -> Element:
     """Elements and texts. A start tag ends what it implies; an end tag closes up to its element, a stray one is dropped."""
     root = Element("root")
     stack = [root]
-    i = 0
-    while i < len(text):
-        m = TOKEN.search(text, i)
+    i, size = 0, len(text)
+    search = TOKEN.search
+    while i < size:
+        m = search(text, i)
+        start = m.start() if m else size
+        if start > i:
+            run = text[i:start]
+            stack[-1].kids.append(entities.unescape(run) if "&" in run else run)
         if not m:
-            stack[-1].kids.append(entities.unescape(text[i:]))
             break
-        if m.start() > i:
-            stack[-1].kids.append(entities.unescape(text[i : m.start()]))
         i = m.end()
-        if not m[2]:
+        end_tag, tag, raw_at = m.groups()
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = tag.lower()
+        if end_tag:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -61,10 +65,10 @@ def tree(text: str) -> Element:
                 if stack[k].tag in SAME[tag]:
                     ended = k
             del stack[ended:]
-        at = {k.lower(): entities.unescape(v[1:-1] if v[:1] in "\"'" and v else v) for k, v in reversed(ATTR.findall(m[3]))}
+        at = {k.lower(): entities.unescape(v[1:-1] if v[:1] in "\"'" and v else v) for k, v in reversed(ATTR.findall(raw_at))} if raw_at else {}
         e = Element(tag, at)
         stack[-1].kids.append(e)
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or raw_at and raw_at.rstrip().endswith("/"):
             continue
         if tag in RAWTEXT:
             end = re.compile(rf"</{tag}\s*>", re.I).search(text, i)
@@ -76,11 +80,24 @@ def tree(text: str) -> Element:
     return root
 
 
+_MORE_SPACES = re.compile(r"[ \t\r\n\f]{2,}|[\t\r\f]")
+
+
+def _collapsed(m: re.Match) -> str:
+    return "\n" if "\n" in m[0] else " "
+
+
 class Reader:
     def attr_of(self, e: Element, drop: tuple[str, ...] = ()) -> list[Any]:
         kv = [[k.removeprefix("data-"), v] for k, v in e.at.items() if k not in ("id", "class", *drop)]
         return attr(e.at.get("id", ""), e.at.get("class", "").split(), kv)
 
+    def inlines(self, e: Element) -> list[Node]:
+        kids = e.kids
+        if len(kids) == 1 and isinstance(kids[0], str):
+            return self.inline(kids[0])
+        return merge([x for k in kids for x in self.inline(k)])
+
     def words(self, e: Any) -> str:
         return e if isinstance(e, str) else "".join(map(self.words, e.kids))
 
@@ -116,10 +133,10 @@ class Reader:
         if t in ("html", "body", "article", "nav", "footer", "main", "header", "aside", "form", "fieldset", "details", "address", "center"):
             return self.blocks(e.kids)
         if t == "p":
-            made = trim(merge([x for k in e.kids for x in self.inline(k)]))
-            return [node("Para", made)] if made else []
-        if re.fullmatch("h[1-6]", t):
-            return [node("Header", [int(t[1]), self.attr_of(e), trim(merge([x for k in e.kids for x in self.inline(k)]))])]
+            made = trim(self.inlines(e))
+            return [{"t": "Para", "c": made}] if made else []
+        if t in HEADINGS:
+            return [node("Header", [int(t[1]), self.attr_of(e), trim(self.inlines(e))])]
         if t == "hr":
             return [node("HorizontalRule")]
         if t == "blockquote":
@@ -203,7 +220,7 @@ class Reader:
 
     def inline(self, k: Any) -> list[Node]:
         if isinstance(k, str):
-            return text_inlines(re.sub(r"[ \t\r\n\f]+", lambda m: "\n" if "\n" in m[0] else " ", k))
+            return text_inlines(_MORE_SPACES.sub(_collapsed, k) if "\r" in k or "\f" in k else k)
         t = k.tag
         if t in SKIP or t == "title":
             return []
@@ -214,7 +231,7 @@ class Reader:
             return [node("Image", [self.attr_of(k, ("src", "alt", "title")), alt, [k.at.get("src", ""), k.at.get("title", "")]])]
         if t in ("code", "tt", "samp", "kbd", "var"):
             return [node("Code", [self.attr_of(k), self.words(k)])]
-        inner = merge([x for c in k.kids for x in self.inline(c)])
+        inner = self.inlines(k)
         if t in INLINE:
             return [node(INLINE[t], inner)] if inner else []
         if t == "q":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from folioflow.functions.text import WIDE, ZERO
@@ -11,8 +12,12 @@ from folioflow.operators.template import _roman
 BLANK, SOFT, HARD = "\ue000", "\ue001", "\ue002"
 
 
+#: Characters that may take no column or two (the marks are none of them).
+_ODD = re.compile("[\u0300-\udfff\ue003-\U0010ffff]")
+
+
 def width(s: str) -> int:
-    if s.isascii():
+    if s.isascii() or not _ODD.search(s):
         return len(s)
     return sum(0 if any(a <= ord(c) <= b for a, b in ZERO) or unicodedata.combining(c) else 2 if any(a <= ord(c) <= b for a, b in WIDE) else 1 for c in s)
 
@@ -24,24 +29,23 @@ def fill(s: str, columns: int = 72, wrap: str = "auto", hard: str = "\n") -> str
         if wrap == "preserve":
             lines.append(part.replace(SOFT, "\n").replace(BLANK, " "))
             continue
-        words = part.replace(SOFT, BLANK).split(BLANK)
+        words = [w for w in part.replace(SOFT, BLANK).split(BLANK) if w]
         if wrap == "none":
-            lines.append(" ".join(w for w in words if w))
+            lines.append(" ".join(words))
             continue
-        out, col = [], 0
-        for w in words:
-            if not w:
-                continue
-            head = width(w.split("\n")[0])
+        plain = "\n" not in part
+        size = len if plain and not _ODD.search(part) else width
+        out, a, col = [], 0, 0
+        for k, w in enumerate(words):
+            head = size(w if plain else w.split("\n", 1)[0])
             if col and col + 1 + head > columns:
-                out.append("\n")
-                col = 0
-            elif out:
-                out.append(" ")
+                out.append(" ".join(words[a:k]))
+                a, col = k, 0
+            elif k > a:
                 col += 1
-            out.append(w)
-            col = width(w.split("\n")[-1]) if "\n" in w else col + head
-        lines.append("".join(out))
+            col = col + head if plain or "\n" not in w else width(w.rsplit("\n", 1)[1])
+        out.append(" ".join(words[a:]))
+        lines.append("\n".join(out))
     return hard.join(lines)
 
 

@@ -132,7 +132,24 @@ class Writer:
     # ------------------------------------------------------------ inlines
 
     def inlines(self, xs: list[Node]) -> str:
-        return "".join(getattr(self, "i_" + x["t"])(x.get("c")) for x in xs)
+        """Runs of words and blanks are escaped at once: escapes look at no character across a blank."""
+        out, run = [], []
+        for x in xs:
+            t = x["t"]
+            if t == "Str":
+                run.append(x["c"])
+            elif t == "Space":
+                run.append(BLANK)
+            elif t == "SoftBreak":
+                run.append(SOFT)
+            else:
+                if run:
+                    out.append(self.escape("".join(run)))
+                    run = []
+                out.append(getattr(self, "i_" + t)(x.get("c")))
+        if run:
+            out.append(self.escape("".join(run)))
+        return "".join(out)
 
     def escape(self, s: str) -> str:
         return chain(s, self.escapes)
@@ -1206,6 +1223,9 @@ def ipynb(doc: dict[str, Any]) -> str:
     return json.dumps({"cells": cells, "metadata": {}, "nbformat": 4, "nbformat_minor": 5}, ensure_ascii=False, indent=1)
 
 
+#: Trees hold no cycles, so nothing looks for them.
+_compact = json.JSONEncoder(ensure_ascii=False, check_circular=False, separators=(",", ":")).encode
+
 CLASSES: dict[str, type[Writer]] = {"plain": Writer, "html": Html, "html5": Html, "html4": Html4, "latex": Latex, "rst": Rst, "mediawiki": MediaWiki, "dokuwiki": DokuWiki, "jira": Jira, "org": Org, "asciidoc": AsciiDoc, "man": Man, "typst": Typst}
 MARKDOWN = ("commonmark", "commonmark_x", "gfm", "markdown", "markdown_github", "markdown_phpextra", "markdown_mmd", "markdown_strict")
 FORMATS = sorted([*CLASSES, *MARKDOWN, "json", "native", "opml", "ipynb", "beamer", "revealjs"])
@@ -1215,7 +1235,7 @@ def write(doc: dict[str, Any], to: str, wrap: str = "auto", columns: int = 72) -
     """A document in the format `to` (with toggles: markdown-smart)."""
     base, ext = options.parse_spec(to, writing=True)
     if base == "json":
-        return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+        return _compact(doc)
     if base in ("opml", "ipynb"):
         return {"opml": opml, "ipynb": ipynb}[base](doc)
     if base in ("native", "beamer", "revealjs"):
