@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import zipfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioflow.operators import options
-from folioflow.sources import ast, delimited, html, markdown, wiki
+from folioflow.sources import ast, delimited, html, markdown, packages, wiki
 from folioflow.writers import native
 from folioflow.writers import text as writers
 
@@ -62,44 +64,95 @@ def _opml(s: str) -> dict[str, Any]:
     return ast.document(out, {"title": ast.node("MetaInlines", ast.text_inlines(title))} if title else {})
 
 
+#: What of a notebook's output is shown, best first, and the format of a raw passage of it.
+_MIMES = {"text/markdown": "markdown", "text/html": "html", "text/latex": "latex", "image/svg+xml": "html", "text/plain": ""}
+_ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
+
+
+def _ipynb_output(o: dict[str, Any]) -> list[ast.Node]:
+    join = lambda x: "".join(x) if isinstance(x, list) else str(x)
+    kind = o.get("output_type", "")
+    classes = ["output", kind]
+    if kind == "stream":
+        return [ast.node("Div", [ast.attr(classes=[*classes, o.get("name", "stdout")]), [ast.node("CodeBlock", [ast.attr(), _ANSI.sub("", join(o.get("text", "")))])]])]
+    if kind in ("error", "pyerr"):
+        lines = "\n".join(_ANSI.sub("", x) for x in o.get("traceback", []))
+        return [ast.node("Div", [ast.attr(classes=classes, kv=[["ename", str(o.get("ename", ""))], ["evalue", str(o.get("evalue", ""))]]), [ast.node("CodeBlock", [ast.attr(), lines])]])]
+    data = o.get("data", {})
+    image = next((m for m in ("image/png", "image/jpeg", "image/gif", "application/pdf") if m in data), None)
+    kv = [["execution_count", str(o["execution_count"])]] if o.get("execution_count") is not None else []
+    if image:
+        source = f"data:{image};base64," + re.sub(r"\s+", "", join(data[image]))
+        made = [ast.node("Para", [ast.node("Image", [ast.attr(), [], [source, ""]])])]
+    else:
+        mime = next((m for m in _MIMES if m in data), None)
+        if mime is None:
+            made = []
+        elif mime == "text/markdown":
+            made = markdown.read(join(data[mime]))["blocks"]
+        elif mime == "text/plain":
+            made = [ast.node("CodeBlock", [ast.attr(), join(data[mime])])]
+        else:
+            made = [ast.node("RawBlock", [_MIMES[mime], join(data[mime])])]
+    return [ast.node("Div", [ast.attr(classes=classes, kv=kv), made])]
+
+
 def _ipynb(s: str) -> dict[str, Any]:
     out = []
-    for c in json.loads(s).get("cells", []):
+    book = json.loads(s)
+    language = book.get("metadata", {}).get("kernelspec", {}).get("language", "python")
+    for c in book.get("cells", []):
         source = "".join(c["source"]) if isinstance(c["source"], list) else c["source"]
         if c["cell_type"] == "markdown":
             out.append(ast.node("Div", [ast.attr(c.get("id", ""), ["cell", "markdown"]), markdown.read(source)["blocks"]]))
         elif c["cell_type"] == "code":
-            out.append(ast.node("Div", [ast.attr(c.get("id", ""), ["cell", "code"]), [ast.node("CodeBlock", [ast.attr(classes=["python"]), source])]]))
+            kv = [["execution_count", str(c["execution_count"])]] if c.get("execution_count") is not None else []
+            shown = [x for o in c.get("outputs", []) for x in _ipynb_output(o)]
+            out.append(ast.node("Div", [ast.attr(c.get("id", ""), ["cell", "code"], kv), [ast.node("CodeBlock", [ast.attr(classes=[language]), source]), *shown]]))
         else:
-            out.append(ast.node("RawBlock", ["ipynb", source]))
+            kind = c.get("metadata", {}).get("raw_mimetype", c.get("metadata", {}).get("format", "ipynb"))
+            out.append(ast.node("Div", [ast.attr(c.get("id", ""), ["cell", "raw"]), [ast.node("RawBlock", [kind.removeprefix("text/"), source])]]))
     return ast.document(out)
 
 
 READERS: dict[str, Callable[[str], dict[str, Any]]] = {"html": html.read, "csv": _delimited(",", True), "tsv": _delimited("\t", False), "json": _json, "plain": _plain, "opml": _opml, "ipynb": _ipynb, "native": native.read, **wiki.READERS}
 
 
-def reader(spec: str) -> Callable[[str], dict[str, Any]]:
-    """The reader of a format; Markdown dialects take option toggles."""
+def reader(spec: str) -> Callable[[Any], dict[str, Any]]:
+    """The reader of a format: of texts, or of bytes for the package formats. Markdown dialects take option toggles."""
     base, _ = options.parse_spec(spec)
     if base in writers.MARKDOWN:
         return lambda s: markdown.read(s, spec)
+    if base in packages.READERS:
+        return packages.READERS[base]
     if base not in READERS:
         raise ValueError(f"unknown format {base!r}")
     return READERS[base]
 
 
+def writer(spec: str, **how: Any) -> Callable[[dict[str, Any]], Any]:
+    """The writer of a format: to a text, or to bytes for the package formats."""
+    base, _ = options.parse_spec(spec, writing=True)
+    if base in packages.WRITERS:
+        return packages.WRITERS[base]
+    writers.write(ast.document([]), spec)  # an unknown target fails now, not in a task
+    return lambda doc: writers.write(doc, spec, **how)
+
+
 def convert_text(text: str, source: str, target: str, **how: Any) -> str:
-    return writers.write(reader(source)(text or ""), target, **how)
+    return writer(target, **how)(reader(source)(text or ""))
 
 
 def convert(docs: DataFrame, source: str, target: str, key: str = "doc_id", text: str = "text", filters: list[Callable[[dict], dict]] | None = None, **how: Any) -> DataFrame:
     """key, output, error of every row of docs; a text that cannot be read has no output but an error. No shuffle.
 
-    filters: functions from document to document, applied in turn between reader and writer. Works on streams too.
+    Package formats (epub, docx, odt, rtf) are read from a binary column and written to one. filters: functions from
+    document to document, applied in turn between reader and writer. Works on streams too.
     """
-    read = reader(source)
-    writers.write(ast.document([]), target)  # an unknown target fails now, not in a task
+    read, write = reader(source), writer(target, **how)
     kind = docs.schema[key].dataType.simpleString()
+    binary = options.parse_spec(source)[0] in packages.READERS
+    packed = options.parse_spec(target, writing=True)[0] in packages.WRITERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
@@ -109,14 +162,15 @@ def convert(docs: DataFrame, source: str, target: str, key: str = "doc_id", text
             out, errors = [], []
             for s in b.column(1).to_pylist():
                 try:
-                    doc = read(s or "")
+                    doc = read(s or empty)
                     for f in filters or []:
                         doc = f(doc)
-                    out.append(writers.write(doc, target, **how))
+                    out.append(write(doc))
                     errors.append(None)
-                except (ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError, SyntaxError) as e:
+                except (ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError, SyntaxError, StopIteration, zipfile.BadZipFile) as e:
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}"[:300])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(errors, pa.string())], [key, "output", "error"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary() if packed else pa.string()), pa.array(errors, pa.string())], [key, "output", "error"])
 
-    return docs.select(key, docs[text].cast("string").alias(text)).mapInArrow(run, f"{key} {kind}, output string, error string")
+    empty = b"" if binary else ""
+    return docs.select(key, docs[text].cast("binary" if binary else "string").alias(text)).mapInArrow(run, f"{key} {kind}, output {'binary' if packed else 'string'}, error string")

@@ -1,4 +1,4 @@
-"""Readers of line-oriented notations: MediaWiki, DokuWiki, Jira, Org, reStructuredText, LaTeX, man and constructor syntax.
+"""Readers of line-oriented notations: MediaWiki, DokuWiki, Jira, Org, LaTeX and man.
 
 Each notation is a table of patterns (headings, lists, fences, rules, inline spans); one pass over lines applies it.
 """
@@ -11,6 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from folioflow.sources import rst
 from folioflow.sources.ast import NO_ATTR, Node, attr, document, merge, node, table, text_inlines, trim
 
 Make = Callable[["Notation", re.Match], Node | list[Node]]
@@ -55,6 +56,7 @@ class Notation:
     inline: list[tuple[re.Pattern, Make]] = field(default_factory=list)
     skip: re.Pattern | None = None
     clean: Callable[[str], str] = lambda s: s
+    special: list[tuple[re.Pattern, Callable]] = field(default_factory=list)  # begin; reads blocks and where they end
 
     def inlines(self, s: str) -> list[Node]:
         out: list[Node] = []
@@ -80,6 +82,10 @@ class Notation:
             if not line.strip() or (self.skip and self.skip.match(line)):
                 i += 1
                 continue
+            if taken := next((f for b, f in self.special if b.match(line)), None):
+                made, i = taken(self, lines, i)
+                out += made
+                continue
             if m := self.heading.match(line):
                 out.append(node("Header", [self.level(m[1]), NO_ATTR, trim(self.inlines(m[2].strip()))]))
                 i += 1
@@ -131,7 +137,7 @@ class Notation:
                 out += self.nest(items)
                 continue
             j = i
-            while j < len(lines) and lines[j].strip() and (j == i or not (self.heading.match(lines[j]) or self.lists.match(lines[j]) or self.rule.match(lines[j]) or any(b.match(lines[j]) for b, _, _ in self.fences) or (self.row and self.row.match(lines[j])))):
+            while j < len(lines) and lines[j].strip() and (j == i or not (self.heading.match(lines[j]) or self.lists.match(lines[j]) or self.rule.match(lines[j]) or any(b.match(lines[j]) for b, _, _ in self.fences) or any(b.match(lines[j]) for b, _ in self.special) or (self.row and self.row.match(lines[j])))):
                 j += 1
             made = trim(self.inlines("\n".join(lines[i:j])))
             if made:
@@ -189,49 +195,112 @@ ORG = Notation(
     rule=R(r"-{5,}\s*$"), row=R(r"\s*\|"), head=lambda s: True, cells=lambda s: [] if re.match(r"\s*\|-", s) else s.strip().strip("|").split("|"), skip=R(r"\s*(?:#\+\w+:|:\w+:|# )"),
     inline=[(R(r"\[\[([^\]]+)\](?:\[([^\]]*)\])?\]"), link(1, 2)), (R(r"(?<!\w)\*(\S(?:.*?\S)??)\*(?!\w)", re.S), span("Strong")), (R(r"(?<!\w)/(\S(?:.*?\S)??)/(?!\w)", re.S), span("Emph")), (R(r"(?<!\w)_(\S(?:.*?\S)??)_(?!\w)"), span("Underline")), (R(r"(?<!\w)\+(\S(?:.*?\S)??)\+(?!\w)"), span("Strikeout")), (R(r"(?<!\w)[=~](\S(?:.*?\S)??)[=~](?!\w)"), code()), (R(r"\\\((.*?)\\\)"), math()), (R(r"\\\[(.*?)\\\]", re.S), math(1, "DisplayMath")), (R(r"\^\{(.*?)\}"), span("Superscript")), (R(r"_\{(.*?)\}"), span("Subscript")), (URL, link(1))],
 )
-RST = Notation(
-    heading=R(r"\x00(\d)(.*)$"), level=int, lists=R(r"(\s*(?:[*+-]|(?:\d+|#)[.)]))\s+(.*)$"), ordered=lambda p: p.strip()[0] not in "*+-", depth=lambda p: len(p) - len(p.lstrip()),
-    fences=[(R(r"\x01(\w*)"), R(r"^\x02"), "code")], rule=R(r"-{4,}\s*$"),
-    inline=[(R(r"\*\*(.+?)\*\*", re.S), span("Strong")), (R(r"\*(\S(?:.*?\S)??)\*", re.S), span("Emph")), (R(r"``(.+?)``", re.S), code()), (R(r":math:`(.+?)`"), math()), (R(r":sup:`(.+?)`"), span("Superscript")), (R(r":sub:`(.+?)`"), span("Subscript")), (R(r"`([^`<]*?)\s*<([^>`]+)>`__?"), lambda n, m: node("Link", [NO_ATTR, n.inlines(m[1]), [m[2], ""]])), (R(r"\\(.)"), lambda n, m: node("Str", m[1]) if m[1] != " " else []), (URL, link(1))],
-)
 
 
-def read_rst(text: str) -> dict[str, Any]:
-    """Underlines become levels in order of first use; literal blocks and code directives become fences."""
-    lines, out, styles, i = text.replace("\r\n", "\n").split("\n"), [], [], 0
+def mediawiki_table(n: Notation, lines: list[str], i: int) -> tuple[list[Node], int]:
+    """A table between {| and |}: rows by |-, cells by | or !, several in a line by || or !!, attributes before a bar."""
+    depth, j = 0, i
+    while j < len(lines):
+        depth += lines[j].lstrip().startswith("{|")
+        depth -= lines[j].lstrip().startswith("|}")
+        j += 1
+        if not depth:
+            break
+    caption: list[Node] = []
+    rows: list[list[tuple[bool, dict[str, str], list[str]]]] = [[]]
+    inner = 0
+    for line in lines[i + 1 : j - 1 if not depth else j]:
+        s = line.strip()
+        if inner or s.startswith("{|"):
+            inner += s.startswith("{|") - s.startswith("|}")
+            if rows[-1]:
+                rows[-1][-1][2].append(line)
+        elif s.startswith("|+"):
+            caption = [node("Plain", trim(n.inlines(s[2:].strip())))]
+        elif s.startswith("|-"):
+            rows.append([])
+        elif s[:1] in ("|", "!"):
+            head = s[0] == "!"
+            for part in re.split(r"\|\||!!" if head else r"\|\|", s[1:]):
+                m = re.match(r"([^|\[\]{}]*?)\|(?!\|)(.*)$", part, re.S)
+                options = dict(re.findall(r"([\w-]+)\s*=\s*\"?([^\"]*?)\"?(?=\s+[\w-]+\s*=|\s*$)", m[1])) if m else {}
+                rows[-1].append((head, options, [(m[2] if m else part).strip()]))
+        elif rows[-1]:
+            rows[-1][-1][2].append(line)
+
+    def cell(options: dict[str, str], body: list[str]) -> list[Any]:
+        made = n.blocks(body)
+        if len(made) == 1 and made[0]["t"] == "Para":
+            made = [node("Plain", made[0]["c"])]
+        align = re.search(r"(left|right|center)", options.get("align", "") + options.get("style", "").partition("text-align")[2])
+        number = lambda k: int(options[k]) if options.get(k, "").isdigit() else 1
+        return [NO_ATTR, node(f"Align{align[1].capitalize()}" if align else "AlignDefault"), number("rowspan"), number("colspan"), made]
+
+    rows = [r for r in rows if r]
+    made = [[NO_ATTR, [cell(o, b) for _, o, b in r]] for r in rows]
+    heads = 1 if rows and all(h for h, _, _ in rows[0]) else 0
+    width = max((sum(c[3] for c in r[1]) for r in made), default=0)
+    specs = [[node("AlignDefault"), node("ColWidthDefault")] for _ in range(width)]
+    return [node("Table", [NO_ATTR, [None, caption], specs, [NO_ATTR, made[:heads]], [[NO_ATTR, 0, [], made[heads:]]], [NO_ATTR, []]])], j
+
+
+MEDIAWIKI.special = [(R(r"\s*\{\|"), mediawiki_table)]
+
+
+def org_drawer(n: Notation, lines: list[str], i: int) -> tuple[list[Node], int]:
+    """Properties and logs are no text."""
+    j = i + 1
+    while j < len(lines) and lines[j].strip().upper() != ":END:":
+        j += 1
+    return [], j + 1
+
+
+def read_org(text: str) -> dict[str, Any]:
+    """Org: keywords become metadata, footnote definitions move to their references, states and tags of headlines stay marked."""
+    lines, notes, meta, kept = text.replace("\r\n", "\n").split("\n"), {}, {}, []
+    i = 0
     while i < len(lines):
-        line, nxt = lines[i], lines[i + 1] if i + 1 < len(lines) else ""
-        if line.strip() and re.fullmatch(r"([=\-~^'\"`:.*+#_])\1*", nxt) and len(nxt) >= len(line.rstrip()) and not line.startswith(" "):
-            if nxt[0] not in styles:
-                styles.append(nxt[0])
-            out += [f"\x00{min(styles.index(nxt[0]) + 1, 6)}{line}", ""]
-            i += 2
-            continue
-        m = re.match(r"\.\. (?:code|code-block|sourcecode)::\s*(\w*)\s*$", line) or re.match(r"()(.*)::\s*$", line)
-        if m:
-            if m.lastindex == 2 and m[2].strip() and not m[2].startswith(".."):
-                out += [m[2] + ":", ""]
-            j, body = i + 1, []
-            while j < len(lines) and (not lines[j].strip() or lines[j].startswith(" ")):
-                body.append(lines[j])
-                j += 1
-            while body and not body[0].strip():
-                body.pop(0)
-            while body and not body[-1].strip():
-                body.pop()
-            n = min((len(b) - len(b.lstrip()) for b in body if b.strip()), default=0)
-            if body:
-                out += [f"\x01{m[1]}", *(b[n:] for b in body), "\x02", ""]
-                i = j
-                continue
-        if line.startswith(".. "):
+        if m := re.match(r"\[fn:([\w-]+)\]\s*(.*)$", lines[i]):
+            body = [m[2]]
             i += 1
-            while i < len(lines) and lines[i].startswith("   "):
+            while i < len(lines) and lines[i].strip() and not re.match(r"\*+ |\[fn:", lines[i]):
+                body.append(lines[i])
                 i += 1
+            notes[m[1]] = body
             continue
-        out.append(line)
+        if m := re.match(r"#\+(title|author|date|subtitle|email|language):\s*(.*)$", lines[i], re.I):
+            meta[m[1].lower()] = node("MetaInlines", trim(ORG.inlines(m[2].strip())))
+        else:
+            kept.append(lines[i])
         i += 1
-    return document(RST.blocks(out))
+
+    def note(n: Notation, m: re.Match) -> Node | list[Node]:
+        if m[2] is not None:
+            return node("Note", [node("Para", n.inlines(m[2]))])
+        return node("Note", n.blocks(notes[m[1]])) if m[1] in notes else node("Str", m[0])
+
+    def cite(n: Notation, m: re.Match) -> Node:
+        keys = re.findall(r"@([\w:.#$%&+?<>~/-]+)", m[1])
+        made = [{"citationId": k, "citationPrefix": [], "citationSuffix": [], "citationMode": node("NormalCitation"), "citationNoteNum": 0, "citationHash": 0} for k in keys]
+        return node("Cite", [made, text_inlines(m[0])])
+
+    own = Notation(**{**vars(ORG), "inline": [(R(r"\[fn:([\w-]*)(?::([^\]]*))?\]"), note), (R(r"\[cite(?:/[\w/-]+)?:([^\]]+)\]"), cite), *ORG.inline]})
+    blocks = own.blocks(kept)
+    for b in blocks:
+        if b["t"] != "Header":
+            continue
+        words = b["c"][2]
+        if words and words[0].get("c") in ("TODO", "DONE"):
+            state = words[0]["c"]
+            b["c"][2] = [node("Span", [attr(classes=[state.lower(), state]), [node("Str", state)]]), *words[1:]]
+        if words and words[-1]["t"] == "Str" and (m := re.fullmatch(r":((?:[\w@#%]+:)+)", words[-1]["c"])):
+            tags = m[1].strip(":").split(":")
+            spans = [node("Span", [attr(classes=["tag"], kv=[["tag-name", t]]), [node("SmallCaps", [node("Str", t)])]]) for t in tags]
+            b["c"][2] = trim(b["c"][2][:-1]) + [x for sp in spans for x in (node("Space"), sp)]
+    return document(blocks, meta)
+
+
+ORG.special = [(R(r"\s*:(?:PROPERTIES|LOGBOOK|DRAWER):\s*$", re.I), org_drawer)]
 
 
 LATEX_SECTIONS = {"part": 0, "chapter": 0, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5}
@@ -438,6 +507,32 @@ class LatexReader:
         return document(self.blocks(re.sub(r"\\maketitle\b", "", s)), meta)
 
 
+def man_table(lines: list[str], words: Callable[[str], list[Node]]) -> Node:
+    """A tbl: options up to a semicolon, formats up to a full stop, then rows; T{ ... T} holds a cell of several lines."""
+    tab = "\t"
+    i = 0
+    if lines and lines[0].rstrip().endswith(";"):
+        if m := re.search(r"tab\s*\((.)\)", lines[0]):
+            tab = m[1]
+        i = 1
+    formats: list[str] = []
+    while i < len(lines):
+        formats.append(lines[i].rstrip(". \t"))
+        i += 1
+        if lines[i - 1].rstrip().endswith("."):
+            break
+    kinds = re.findall(r"[lrcnaLRCNA]", re.sub(r"\([^)]*\)|[wfFvp]\S*", "", formats[-1] if formats else ""))
+    bold = bool(formats) and len(formats) > 1 and bool(re.search(r"(?i)[lrcna]\s*f?b", formats[0]))
+    body = "\n".join(x for x in lines[i:] if not re.fullmatch(r"[_=]|\.\w+.*|", x.strip()))
+    body = re.sub(r"T\{\n?(.*?)\n?T\}", lambda m: m[1].replace("\n", " "), body, flags=re.S)
+    rows = [[[node("Plain", w)] if (w := words(c.strip())) else [] for c in x.split(tab)] for x in body.split("\n") if x.strip()]
+    width = max([len(kinds), *map(len, rows)], default=0)
+    rows = [r + [[]] * (width - len(r)) for r in rows]
+    aligns = [{"l": "AlignLeft", "r": "AlignRight", "n": "AlignRight", "c": "AlignCenter"}.get(k.lower(), "AlignDefault") for k in kinds] + ["AlignDefault"] * (width - len(kinds))
+    ruled = any(x.strip() in ("_", "=") for x in lines[i + 1 : i + 2])
+    return table(rows[0] if rows and (bold or ruled) else [], rows[1 if bold or ruled else 0 :], aligns)
+
+
 def read_man(text: str) -> dict[str, Any]:
     """Headings, paragraphs, tagged and bulleted items, examples and fonts of a manual page."""
     glyphs = {"\\-": "-", "\\(bu": "•", "\\[bu]": "•", "\\[rs]": "\\", "\\[aq]": "'", "\\[ga]": "`", "\\[ha]": "^", "\\[ti]": "~", "\\&": "", "\\e": "\\", "\\ ": " "}
@@ -453,11 +548,19 @@ def read_man(text: str) -> dict[str, Any]:
                 font = part[2:].strip("[]")
                 continue
             words = text_inlines(clean(part))
-            if words:
+            if "\x00" in part:
+                for k, piece in enumerate(part.split("\x00")):
+                    if k % 2:
+                        url, label = links[int(piece)]
+                        out.append(node("Link", [NO_ATTR, text_inlines(clean(label)), [url, ""]]))
+                    else:
+                        out += text_inlines(clean(piece))
+            elif words:
                 out += [node("Strong", words)] if font == "B" else [node("Emph", words)] if font == "I" else [node("Code", [NO_ATTR, clean(part)])] if font.startswith("C") else words
         return trim(merge(out))
 
     out: list[Node] = []
+    links: list[tuple[str, str]] = []
     para: list[str] = []
     meta: dict[str, Any] = {}
     item: tuple[str, list[Any]] | None = None
@@ -484,7 +587,7 @@ def read_man(text: str) -> dict[str, Any]:
     while i < len(lines):
         line = lines[i]
         i += 1
-        m = re.match(r"[.']\s*([A-Z]+|\\\")\s*(.*)$", line)
+        m = re.match(r"[.']\s*([A-Za-z]+|\\\")\s*(.*)$", line)
         if not m:
             if line.strip():
                 para.append(line)
@@ -515,10 +618,31 @@ def read_man(text: str) -> dict[str, Any]:
                 i += 1
             i += 1
             out.append(node("CodeBlock", [NO_ATTR, "\n".join(body)]))
+        elif name == "TS":
+            flush()
+            body = []
+            while i < len(lines) and not lines[i].startswith(".TE"):
+                body.append(lines[i])
+                i += 1
+            i += 1
+            out.append(man_table(body, lambda x: inlines(x)))
+        elif name == "de":  # a macro's definition is no text
+            while i < len(lines) and not re.match(r"\.\.\s*$", lines[i]):
+                i += 1
+            i += 1
+        elif name in ("UR", "MT") and args:
+            words = []
+            while i < len(lines) and not re.match(r"\.(UE|ME)\b", lines[i]):
+                words.append(lines[i])
+                i += 1
+            rest = lines[i][3:].strip() if i < len(lines) else ""
+            i += 1
+            links.append((("mailto:" if name == "MT" else "") + clean(args[0]), " ".join(words) or clean(args[0])))
+            para.append(f"\x00{len(links) - 1}\x00{clean(rest)}")
         elif name in ("B", "I", "BR", "IR", "RB", "RI", "BI", "IB"):
             para.append("".join(f"\\f{name[k % len(name)]}{a}\\fR" for k, a in enumerate(args)) if len(name) == 2 else f"\\f{name}{' '.join(args)}\\fR")
     flush()
     return document(out, meta)
 
 
-READERS: dict[str, Callable[[str], dict[str, Any]]] = {"mediawiki": MEDIAWIKI.read, "dokuwiki": DOKUWIKI.read, "jira": JIRA.read, "org": ORG.read, "rst": read_rst, "latex": lambda s: LatexReader().read(s), "man": read_man}
+READERS: dict[str, Callable[[str], dict[str, Any]]] = {"mediawiki": MEDIAWIKI.read, "dokuwiki": DOKUWIKI.read, "jira": JIRA.read, "org": read_org, "rst": rst.read, "latex": lambda s: LatexReader().read(s), "man": read_man}
