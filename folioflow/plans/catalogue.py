@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import markup, relational, scalars
+from folioflow.plans import formats, markup, relational, scalars  # noqa: F401  (formats adds to the queries of scalars)
 
 FLAGSHIP = "html_text_blocks"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
