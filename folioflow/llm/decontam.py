@@ -214,42 +214,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", car
 
     Null text has no words; null or empty items have no windows; an item without id counts as one named ''; items with
     equal ids count once; an empty benchmark hits nothing; a document row that repeats is judged each time. Columns of
-    docs (those in carry, if given) pass through; the three new columns replace ones with their names. A block of items is broadcast (BLOCK_BYTES at most);
-    a benchmark of several blocks takes a pass over the documents for each.
+    docs (those in carry, if given) pass through; the three new columns replace ones with their names. Texts of any length
+    are searched whole. Items are broadcast in blocks (BLOCK_BYTES at most); each shard meets all blocks in turn, one at a
+    time in memory.
     """
     spark = docs.sparkSession
-    new = ("n_words", "removal_spans", "items")
+    new = ["n_words", "removal_spans", "items"]
     docs = docs.select([c for c in docs.columns if c not in new])
-    carry = carry if carry is None else [c for c in carry if c not in new]
-    out = docs
-    blocks = [None]
-    for k, block in enumerate(item_blocks(benchmark)):
-        if k == 0:
-            blocks = []
+    names = [c for c in (docs.columns if carry is None else carry) if c not in new]
+    blocks = []
+    for block in item_blocks(benchmark):
         blocks.append(spark.sparkContext.broadcast(Phrases(block)))
-    empty = Phrases([])
-    for k, b in enumerate(blocks):
-        names = carry if carry is not None and k == len(blocks) - 1 else docs.columns
-        fields = [docs.schema[c] for c in names]
-        from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
-
-        schema = StructType([*fields, StructField("n_words", LongType()), StructField("removal_spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
-
-        def run(batches: Iterator[pa.RecordBatch], b=b, k=k, names=names) -> Iterator[pa.RecordBatch]:
-            ph = b.value if b is not None else empty
-            for batch in batches:
-                col = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
-                n, spans, items = search_shard(col, ph)
-                if k:
-                    old_s = batch.column(batch.schema.get_field_index("removal_spans")).to_pylist()
-                    old_i = batch.column(batch.schema.get_field_index("items")).to_pylist()
-                    spans = [merge(np.array(o, np.int64), s) for o, s in zip(old_s, spans, strict=True)]
-                    items = [sorted({*o, *i}) for o, i in zip(old_i, items, strict=True)]
-                more = [pa.array(n), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *more], [*names, "n_words", "removal_spans", "items"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+        blocks[-1].__dict__.pop("_value", None)  # it lies in a file now
+    several = len(blocks) > 1
+
+    def phrases() -> Iterator[Phrases]:
+        """The blocks in turn; of several only one is held."""
+        if not blocks:
+            yield Phrases([])
+        for b in blocks:
+            yield b.value
+            if several:
+                b.__dict__.pop("_value", None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(batch.schema.get_field_index(text)).cast(pa.string())
+            n = spans = items = None
+            for ph in phrases():
+                n, more, also = search_shard(col, ph)
+                spans = more if spans is None else [merge(x, y) if len(x) and len(y) else x if len(x) else y for x, y in zip(spans, more, strict=True)]
+                items = also if items is None else [sorted({*x, *y}) for x, y in zip(items, also, strict=True)]
+            made = [pa.array(n), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], [*names, *new])
+
+    from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+    schema = StructType([*(docs.schema[c] for c in names), StructField("n_words", LongType()), StructField("removal_spans", ArrayType(LongType())), StructField("items", ArrayType(StringType()))])
+    need = list(dict.fromkeys([*names, text]))
+    return docs.select(*need).mapInArrow(run, schema)
 
 
 def merge(x: np.ndarray, y: np.ndarray) -> np.ndarray:

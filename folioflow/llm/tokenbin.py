@@ -119,8 +119,11 @@ class FileReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[float] | None = None) -> DataFrame:
-    """doc_id, ids (binary, the vocabulary's narrowest type), n_tokens and, with bounds, the range `pid` of the doc_id."""
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[float] | None = None, nulls: int = 0) -> DataFrame:
+    """doc_id, ids (binary, the vocabulary's narrowest type), n_tokens and, with bounds, the range `pid` of the doc_id.
+
+    Rows without doc_id come first, in the ranges below `nulls`, dealt by their ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
@@ -130,7 +133,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[
                 ids = enc.ids(texts, end_id)
                 key = part.column(0)
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // enc.dtype.itemsize
-                at = [0 if k is None else int(np.searchsorted(cut, k, "right")) for k in key.to_pylist()]
+                at = [zlib.crc32(x) % max(nulls, 1) if k is None else nulls + int(np.searchsorted(cut, k, "right")) for k, x in zip(key.to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([key, pa.array(ids, pa.binary()), pa.array(n), pa.array(at, pa.int32())], ["doc_id", "ids", "n_tokens", "pid"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, pid int")
@@ -141,20 +144,27 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
 
     Files: path, pid, part (their order), n_docs, n_tokens, base (ids in all files before). Range bounds come from a
     quantile sketch of the doc_id column alone; the ids, not the texts, are shuffled. Null text: as empty. Rows that
-    repeat a doc_id lie next to each other, shorter first, then by their ids. Any other columns are ignored.
+    repeat a doc_id lie next to each other, shorter first, then by their ids; rows without one are spread over ranges of
+    their own. A text of any length is one document. Any other columns are ignored; an empty table gives no files. Files
+    that are not listed are of attempts that were given up.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or tokens.default_path()
     n = common.partitions(spark)
     bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).na.drop().approxQuantile("d", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
 
+    nulls = n if docs.filter(F.col("doc_id").isNull()).limit(1).count() else 0
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
         enc = tokens.encoder(tokenizer)
         bits = width(enc.size)
         files, part, rows = [], 0, iter_rows(batches)
         row = next(rows, None)
         while row is not None:
-            pid, path = row[3], f"{folder}/part-{row[3]:06d}-{part:04d}.fbp"
+            pid, path = row[3], f"{folder}/part-{row[3]:06d}-{attempt:08d}-{part:04d}.fbp"
 
             def body(out, first=row):
                 nonlocal row
@@ -171,7 +181,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 part = 0
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "pid", "part", "n_docs", "n_tokens"), f, strict=True)) for f in files], pa.schema([("path", pa.string()), ("pid", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    packed = tokenised(docs, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, F.col("pid"))
+    packed = tokenised(docs, tokenizer, end_id, bounds, nulls).repartitionById(nulls + len(bounds) + 1, F.col("pid"))
     ordered = packed.sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
     files = common.materialise(ordered.mapInArrow(write, "path string, pid int, part int, n_docs long, n_tokens long"), "token-files")
     before = Window.orderBy("pid", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, not document
