@@ -30,6 +30,8 @@ KINDS: tuple[tuple[str, str, str, float, str], ...] = (
 )
 #: Characters on either side of a span in which context words count, what they add, and the score that an added kind needs.
 NEAR, LIFT, LEAST = 48, 0.3, 0.5
+#: Matches that are folded into one array at a time.
+RUN = 128
 
 
 def digits(s: Column) -> Column:
@@ -68,18 +70,20 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def spans_of(text: Column, kind: str, pattern: str, hint: str, score: float, words: str) -> Column:
-    """The valid spans of one kind: array<struct<kind, start, end, score>>, code points, end exclusive."""
+    """The valid spans of one kind: array<struct<kind, start, end, score>>, code points, end exclusive.
+
+    Matches are worked through in runs of RUN: a run's spans count from its own begin and are moved to their places when
+    the lengths of the runs before are known, so the work grows with the matches, not with their square. Context is what
+    stands between this match and its neighbours of the same kind, NEAR characters on either side at most.
+    """
     none = F.expr("CAST(array() AS array<struct<kind:string,start:int,end:int,score:double>>)")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # between matches lie the pieces of a split by the same pattern, so running lengths give the places
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), matches.alias("match"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["piece"])
         match = F.coalesce(p["match"], F.lit(""))
         end = start + F.length(match)
-        before = F.substr(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR)))
-        context = F.concat(before, F.lit(" "), F.substr(text, end + 1, F.lit(NEAR)))
+        context = F.concat(F.right(p["piece"], F.lit(NEAR)), F.lit(" "), F.left(F.coalesce(p["after"], F.lit("")), F.lit(NEAR)))
         near = F.when(F.lower(context).rlike(words), LIFT).otherwise(0.0)
         value = F.round(F.least(F.lit(score) + near, F.lit(1.0)), 2)
         found = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("score")))
@@ -89,7 +93,21 @@ def spans_of(text: Column, kind: str, pattern: str, hint: str, score: float, wor
         return F.struct(end.alias("at"), F.when(ok, F.concat(acc["found"], found)).otherwise(acc["found"]).alias("found"))
 
     zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    spans = F.aggregate(pairs, zero, step)["found"]
+    bind = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  evaluates value once
+
+    def placed(runs: Column) -> Column:
+        offsets = F.aggregate(runs, F.array(F.lit(0)), lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+        move = lambda r, by: F.transform(r["found"], lambda x: F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["score"].alias("score")))
+        return bind(offsets, lambda o: F.flatten(F.transform(runs, lambda r, i: move(r, F.element_at(o, i + 1)))))
+
+    def of(pieces: Column) -> Column:
+        # between matches lie the pieces of a split by the same pattern, so running lengths give the places
+        pairs = F.arrays_zip(pieces.alias("piece"), matches.alias("match"), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))).alias("after"))
+        starts = lambda p: F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int"))
+        runs = bind(pairs, lambda p: F.transform(starts(p), lambda k: F.aggregate(F.slice(p, k * RUN + 1, F.lit(RUN)), zero, step)))
+        return bind(runs, placed)
+
+    spans = bind(F.split(text, pattern, -1), of)
     # most texts have no valid match: a plain search first
     has = text.rlike(pattern)
     if hint:
@@ -101,7 +119,8 @@ def find(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """docs with `into`: the spans of every kind, base kinds in their order first, then the added ones, each by start.
 
     A null text has no spans. Base kinds keep every span that passes its check, whatever its score; added kinds (account
-    numbers, national ids) need their check and a score of LEAST. Spans of different kinds may overlap. No shuffle; all
+    numbers, national ids) need their check and a score of LEAST. Spans of different kinds may overlap. Whole texts of any
+    length are searched, and repeated rows each; an empty table gives no rows. No shuffle; all
     other columns pass through, but for `into` and names that begin with _pii_, which are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
