@@ -5,6 +5,10 @@
 3. benchmark decontamination: documents contaminated by the contract's rule go;
 4. PII: spans are masked in the texts, n_chars follows;
 5. packing: what is left becomes pieces of packed sequences.
+
+Every stage takes nulls in any column, empty and very long texts, ties and repeated rows, an empty table, and columns besides
+those of `documents` (names that a stage uses for its own results included: they come out as they went in). A null text counts
+as empty; it is never toxic, has no near copies, is not contaminated, has no spans, and packs as its end id.
 """
 
 from __future__ import annotations
@@ -17,13 +21,21 @@ from pyspark.sql import functions as F
 from folioflow.llm import common, decontam, ngramjoin, packing, pii, toxicity
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs under names that no operator uses (doc_id and text stay), and these names."""
+    names = [c if c in ("doc_id", "text") else f"_own_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter(F.col("predicted") == 0).select(docs.columns)
+    """Rows that are not predicted toxic; each row is judged on its own text, repeated rows alike."""
+    own, names = numbered(docs)
+    scored = toxicity.score(own, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.filter(F.col("predicted") == 0).select(names).toDF(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row whose doc_id names its component; of rows that repeat it with the same text one stays.
+    """Keeps the row whose doc_id names its component; of rows that repeat it with the same text one stays (any of them).
 
     Rows without a doc_id that are in no named component all stay (nothing says which are copies of which but their text:
     exact repeats of a text among them go).
@@ -43,16 +55,23 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontam.judged(found).filter(~F.col("contaminated")).select(docs.columns)
+    """Rows that are not contaminated by the contract's rule; an empty benchmark removes nothing."""
+    own, names = numbered(docs)
+    found = decontam.decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.judged(found).filter(~F.col("contaminated")).select(names).toDF(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.find(docs).withColumn("text", pii.mask(F.coalesce("text", F.lit("")), F.col("pii")))
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Every row with its spans masked and n_chars (where there is such a column) following; a null text becomes empty."""
+    own, names = numbered(docs)
+    masked = pii.find(own).withColumn("text", pii.mask(F.coalesce("text", F.lit("")), F.col("pii")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn(names[docs.columns.index("n_chars")], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(names).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of every row (see packing.SCHEMA); other columns end here."""
     return packing.pack(docs)
 
 
