@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioflow.functions import text as T
 
@@ -157,12 +158,12 @@ def doc_lines(spark, sf_dir):
 p AS (SELECT *, sum(CASE WHEN trim(content) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS para FROM l)
 SELECT doc_id, CAST(para AS BIGINT) AS para, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(content)) AS BIGINT) AS chars FROM p WHERE trim(content) <> '' GROUP BY doc_id, para""")
 def doc_paragraphs(spark, sf_dir):
-    """A paragraph is a run of lines between blank ones; lines stay in the row, so no shuffle by document is needed."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"), lines.alias("all"))
-    before = F.size(F.filter(F.slice("all", 1, F.col("line") + 1), lambda x: x == ""))
-    kept = d.filter(F.trim("content") != "").select("doc_id", before.cast("long").alias("para"), F.length("content").alias("n"))
-    return kept.groupBy("doc_id", "para").agg(F.count("*").alias("lines"), F.sum("n").cast("long").alias("chars"))
+    """A paragraph is a run of lines between blank ones; the blank lines before a line are a running sum over its document."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    blank = F.trim("content") == ""
+    before = F.sum(F.when(blank, 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    kept = d.withColumn("para", before.cast("long")).filter(~blank)
+    return kept.groupBy("doc_id", "para").agg(F.count("*").alias("lines"), F.sum(F.length("content")).cast("long").alias("chars"))
 
 
 @query("""SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))) AS target FROM documents""")
