@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A key is hot when it holds at least one row in HOT_SHARE; so there are at most HOT_SHARE hot keys, at any size.
 HOT_SHARE = 1000
 #: Bytes of text that one numpy pass takes at a time (a longer text is a pass of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -387,7 +387,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         live = common.materialise(shared_tokens(relabelled()), "join-live") if k else tokens
         order = F.struct(F.floor(F.col("s") * 200 / F.col("n")).alias("f"), F.xxhash64("cid", F.lit(k)).alias("o"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("comp").alias("ca"))
         lead = live.groupBy("h").agg(F.max(order).alias("l"), F.count("*").alias("_n")).select("h", "_n", "l.a", "l.na", "l.sa", "l.ca")
-        lead = common.materialise(lead, "join-lead", clean=False)
+        lead = common.materialise(lead, "join-lead")
         pairs = common.skew_join(live, lead, ["h"], "_n", live.count()).filter((F.col("comp") != F.col("ca")) & near(F.col("n"), F.col("na")) & fits(F.col("s"), F.col("n"), F.col("sa"), F.col("na")))
         strong = pairs.groupBy("cid", "n", "a", "na").agg(F.count("*").alias("c")).filter(20 * F.col("c") >= F.least("n", "na") * 0.3)
         best = strong.groupBy("cid", "n").agg(F.max(F.struct("c", "a", "na")).alias("l")).select(F.col("l.a").alias("a"), F.col("l.na").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb"))
@@ -422,10 +422,10 @@ def components(docs: DataFrame) -> DataFrame:
     known, ids, links = similar_sets(docs)
     comps = graph.components(links).withColumnRenamed("node", "cid")
     name = ["c1", "c2"]
-    classes = common.materialise(known.filter("n > 0").groupBy(name).agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "join-known", clean=False)
+    classes = common.materialise(known.filter("n > 0").groupBy(name).agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "join-known")
     linked = classes.join(ids.join(comps, "cid"), name)
     of = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = common.materialise(linked.join(of, "component").select(*name, "component_id", "_n"), "join-linked", clean=False)
+    linked = common.materialise(linked.join(of, "component").select(*name, "component_id", "_n"), "join-linked")
     # classes of one document that link to nothing need no join
     alone = classes.filter("_n > 1").join(linked.select(name), name, "left_anti").select(*name, F.col("least").alias("component_id"), "_n")
     joined = common.materialise(linked.unionByName(alone), "join-classes")

@@ -38,11 +38,11 @@ CONTEXT_BITS = 14
 #: Share of toxic words in a toxic text; a short text counts as if it had USUAL words of the usual score besides.
 SHARE, USUAL = 0.02, 8
 #: Expressions of a block of the model (12 bytes each), about; slices of a batch that are looked up in one pass over several blocks.
-BLOCK, GROUP = 1 << 21, 6
+BLOCK, GROUP = 1 << 21, 8
 #: Flags that tell a block's expressions from most others.
 FLAGS = 1 << 22
 #: Pairs that a task holds before it merges them, and passes them on where that does not halve them.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Labelled texts that the two numbers of the logistic curve are fitted on, about, at most (those with the smallest hashes).
 CURVE_ROWS = 8000
 THRESHOLD = 0.3
@@ -347,7 +347,7 @@ def ratios_table(words: DataFrame, listed: DataFrame, context: DataFrame) -> tup
     freed = listed.groupBy("u").agg(*(F.sum(rest[c]).alias(f"{c}_left") for c in both))
     own = context.join(freed, "u").select("u", *(F.col(c).alias(f"all_{c}") for c in both), *(F.when(F.col(c) > 0, F.greatest(1 - F.col(f"{c}_left") / F.col(c), F.lit(1e-9))).otherwise(1.0).alias(f"mass_{c}") for c in both))
     adds = np.zeros(1 << CONTEXT_BITS, np.float32)
-    own = common.materialise(own, "toxic-contexts", clean=False)
+    own = common.materialise(own, "toxic-contexts")
     for r in own.collect():  # as many as there are prints at most
         adds[r.u] = np.log(r.mass_toxic / r.mass_ordinary)
     at = listed.filter(F.greatest(*rest.values()) > 0).join(F.broadcast(own), "u").join(up.withColumnRenamed("up", "h"), "h")
@@ -364,7 +364,7 @@ def fit_model(every: DataFrame, whole: bool) -> Model:
     of = lambda kind, *c: every.filter(F.col("kind") == kind).select(*c, *both)
     context = of(CONTEXT, "u").groupBy("u").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     rows, unknown, adds = ratios_table(of(WORD, "h", "p7", "p5", "u"), of(PAIR, F.col("p7").alias("key"), "h", "u"), context)
-    rows = common.materialise(rows, "toxic-ratios", clean=False)
+    rows = common.materialise(rows, "toxic-ratios")
     blocks, most = [], -(-rows.count() // BLOCK) or 1
     for i in range(most):
         got = rows.filter(F.pmod("h", F.lit(most)) == i).toArrow()
