@@ -180,16 +180,6 @@ def html_table_region(spark, sf_dir):
     return tables.html_table(read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string"), "r_name"), ["r_regionkey", "r_name"], F.col("r_regionkey").cast("int"))
 
 
-@query("""WITH p AS (SELECT * FROM part WHERE p_size <= 3), w AS (SELECT CAST(greatest(max(length(p_brand)), 5) AS INTEGER) AS a, CAST(greatest(max(length(p_type)), 4) AS INTEGER) AS b FROM p)
-SELECT rpad('brand', a, ' ') || '  ' || rpad('type', b, ' ') || chr(10) || repeat('-', a) || '  ' || repeat('-', b) || chr(10) ||
- (SELECT string_agg(rpad(p_brand, a, ' ') || '  ' || rpad(p_type, b, ' '), chr(10) ORDER BY p_partkey) FROM p, w) AS tbl FROM w""")
-def simple_table_part(spark, sf_dir):
-    from folioflow.operators import tables
-
-    p = read(spark, sf_dir, "part").filter("p_size <= 3").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), "p_partkey")
-    return tables.simple_table(p, ["brand", "type"], F.col("p_partkey"))
-
-
 @query("""WITH w AS (SELECT p_brand, p_size, CAST(greatest(max(length(p_name)), 4) AS INTEGER) AS a, CAST(greatest(max(length(p_type)), 4) AS INTEGER) AS b FROM part GROUP BY ALL)
 SELECT p_brand, p_size, rpad('name', any_value(a), ' ') || '  ' || rpad('type', any_value(b), ' ') || chr(10) || repeat('-', any_value(a)) || '  ' || repeat('-', any_value(b)) || chr(10) ||
  string_agg(rpad(p_name, a, ' ') || '  ' || rpad(p_type, b, ' '), chr(10) ORDER BY p_partkey) AS tbl FROM part JOIN w USING (p_brand, p_size) GROUP BY p_brand, p_size""")
@@ -251,23 +241,23 @@ def metadata_merge(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT DISTINCT sha1(text) || '.plain' AS name, length(text) AS n FROM documents)
-SELECT name, CAST(n AS BIGINT) AS n FROM m WHERE name NOT IN (SELECT sha1(text) || '.plain' FROM documents WHERE doc_id % 7 = 0)""")
+SELECT name, CAST(n AS BIGINT) AS n FROM m WHERE name NOT IN (SELECT sha1(text) || '.plain' FROM conversations)""")
 def media_dedup_content_address(spark, sf_dir):
     """Items named by content, each once, without those that the bag already holds."""
     d = read(spark, sf_dir, "documents")
     name = T.content_name(F.lit("text/plain"), F.col("text").cast("binary"))
-    held = d.filter("doc_id % 7 = 0").select(name.alias("name")).distinct()
+    held = read(spark, sf_dir, "conversations").select(name.alias("name")).distinct()
     return d.select(name.alias("name"), F.length("text").cast("long").alias("n")).dropDuplicates(["name"]).join(held, "name", "left_anti")
 
 
-@query("""WITH refs AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS label FROM orders), defs AS (SELECT CAST(c_custkey AS VARCHAR) AS label, c_name AS url, 0 AS prio FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name, 1 FROM part),
+@query("""WITH refs AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS label FROM orders), defs AS (SELECT CAST(s_suppkey AS VARCHAR) AS label, s_name AS url, 0 AS prio FROM supplier UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, 1 FROM nation),
 d AS (SELECT label, url FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY prio, url) AS r FROM defs) WHERE r = 1)
 SELECT o_orderkey, coalesce(url, '[' || refs.label || ']') AS target FROM refs LEFT JOIN d ON refs.label = d.label""")
 def reference_resolution(spark, sf_dir):
     """Explicit definitions win over implicit ones; unresolved references stay literal."""
     refs = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("label"))
-    a = read(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("label"), F.struct(F.lit(0).alias("prio"), F.col("c_name").alias("url")).alias("d"))
-    b = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("label"), F.struct(F.lit(1).alias("prio"), F.col("p_name").alias("url")).alias("d"))
+    a = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("label"), F.struct(F.lit(0).alias("prio"), F.col("s_name").alias("url")).alias("d"))
+    b = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("label"), F.struct(F.lit(1).alias("prio"), F.col("n_name").alias("url")).alias("d"))
     defs = a.unionByName(b).groupBy("label").agg(F.min("d").alias("d"))
     return refs.join(defs, "label", "left").select("o_orderkey", F.coalesce("d.url", F.concat(F.lit("["), "label", F.lit("]"))).alias("target"))
 

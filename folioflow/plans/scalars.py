@@ -102,15 +102,15 @@ def display_width(spark, sf_dir):
 
 
 _ROMAN = " || ".join(f"list_extract([{', '.join(sql_text(d) for d in ds)}], CAST(floor(n / {10**k}) % 10 + 1 AS BIGINT))" for k, ds in ((3, ["", "m", "mm", "mmm"]), (2, ["", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"]), (1, ["", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"]), (0, ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"])))
-_ALPHA = "CASE WHEN n < 1 THEN CAST(n AS VARCHAR) WHEN n <= 26 THEN chr(CAST(96 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(96 + (n - 1) // 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) ELSE chr(CAST(97 + ((n - 1) // 26 - 1) // 26 - 1 AS INTEGER)) || chr(CAST(97 + ((n - 1) // 26 - 1) % 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) END"
+_ALPHA = "CASE WHEN n < 1 THEN CAST(n AS VARCHAR) WHEN n <= 26 THEN chr(CAST(96 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(96 + (n - 1) // 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) WHEN n <= 18278 THEN chr(CAST(97 + ((n - 1) // 26 - 1) // 26 - 1 AS INTEGER)) || chr(CAST(97 + ((n - 1) // 26 - 1) % 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) ELSE chr(CAST(97 + (((n - 1) // 26 - 1) // 26 - 1) // 26 - 1 AS INTEGER)) || chr(CAST(97 + (((n - 1) // 26 - 1) // 26 - 1) % 26 AS INTEGER)) || chr(CAST(97 + ((n - 1) // 26 - 1) % 26 AS INTEGER)) || chr(CAST(97 + (n - 1) % 26 AS INTEGER)) END"  # up to four letters: 475,254
 
 
-@query(f"""WITH k AS (SELECT DISTINCT CAST(o_orderkey % 5000 AS BIGINT) AS n FROM orders)
+@query(f"""WITH k AS (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS n FROM orders)
 SELECT n, CASE WHEN n BETWEEN 1 AND 3999 THEN {_ROMAN} ELSE CAST(n AS VARCHAR) END AS roman,
        CASE WHEN n = 0 THEN '' WHEN n BETWEEN 1 AND 3999 THEN {_ROMAN} ELSE CAST(n AS VARCHAR) END AS roman_pipe,
        {_ALPHA} AS alpha, chr(CAST(96 + n % 26 AS INTEGER)) AS alpha_pipe, '(' || n || ')' AS marker FROM k""")
 def numerals(spark, sf_dir):
-    k = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).cast("long").alias("n")).distinct()
+    k = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("n")).distinct()
     n = F.col("n")
     return k.select("n", T.roman(n).alias("roman"), T.roman(n, zero="empty").alias("roman_pipe"), T.alpha(n).alias("alpha"), T.alpha_pipe(n).alias("alpha_pipe"), T.ordered_marker(n.cast("string"), "both").alias("marker"))
 
@@ -185,10 +185,10 @@ def script_glyphs(spark, sf_dir):
     return k.select("n", T.raised(s).alias("raised"), T.lowered(s).alias("lowered"), T.dash_thirds(F.col("n") % 20).alias("dashes"))
 
 
-@query("""SELECT n, CASE WHEN n BETWEEN 1 AND 3999 THEN n END AS value FROM (SELECT DISTINCT CAST(o_orderkey % 5000 AS BIGINT) AS n FROM orders)""")
+@query("""SELECT n, CASE WHEN n BETWEEN 1 AND 3999 THEN n END AS value FROM (SELECT DISTINCT CAST(o_orderkey AS BIGINT) AS n FROM orders)""")
 def roman_parse(spark, sf_dir):
     """Numerals written and read again; what is no numeral has no value."""
-    k = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5000).cast("long").alias("n")).distinct()
+    k = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("n")).distinct()
     return k.select("n", T.roman_value(T.roman(F.col("n"))).cast("long").alias("value"))
 
 
