@@ -216,12 +216,12 @@ def chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield a, len(sizes)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of a batch with at most CHUNK_BYTES of text each, and their texts."""
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with at most `limit` bytes of text each (a longer text is alone), and their texts."""
     col = batch.column(batch.schema.get_field_index(column))
     import pyarrow.compute as pc
 
-    for a, b in chunks(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)):
+    for a, b in chunks(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), limit):
         yield batch.slice(a, b - a), col.slice(a, b - a).to_pylist()
 
 

@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers:
             return rows
 
         for b in batches:
-            for part_rows, texts in common.text_chunks(b):
+            for part_rows, texts in common.text_chunks(b, limit=tokens.CHUNK):
                 for key, ids in zip(part_rows.column(0).to_pylist(), enc.ids(texts, end_id), strict=True):
                     held.append((key, ids, 0, len(ids) // w))
                     size += len(ids) // w

@@ -9,6 +9,8 @@ import numpy as np
 
 #: Distinct chunks that a worker remembers before it starts anew (bounds its memory to some 200 MB).
 CACHE = 800_000
+#: Bytes of text that are encoded at a time.
+CHUNK = 2 << 20
 #: ASCII punctuation: after letters, a run of it is one piece of its own for the splitter.
 PUNCTUATION = string.punctuation
 _encoders: dict[str, Encoder] = {}

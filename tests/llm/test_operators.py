@@ -114,7 +114,7 @@ def test_padding_does_not_depend_on_partitions(spark, parts):
 
 def test_packing_in_several_buckets(spark, docs, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_TOKENS", 3000)
-    monkeypatch.setattr(common, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(tokens, "CHUNK", 2000)
     test_packing(docs, docs.limit(0))
 
 
