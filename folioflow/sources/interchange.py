@@ -9,61 +9,74 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folioflow.batches import slices
+
 NODES = "doc_id long, nid int, last int, parent int, depth int, tag string, text string, level int, id string, url string"
 #: Nesting beyond this is refused, as a guard for stacks.
 DEPTH = 128
+#: Node rows of a batch that goes back to the JVM.
+NODE_ROWS = 1 << 15
+#: Tags with a text of their own beside their attributes, with an identifier, with an address.
+_TEXTS, _NAMED, _LINKS = frozenset("Code CodeBlock RawBlock RawInline Math".split()), frozenset("Div Span CodeBlock Code Link Image".split()), frozenset(("Link", "Image"))
+
+
+def _below(x: Any, doc_id: int | None, parent: int | None, depth: int, out: list[list[Any]]) -> None:
+    """Appends the rows of all nodes in x. No nested function: one that calls itself would keep `out` until the next collection."""
+    if isinstance(x, list):
+        for v in x:
+            if isinstance(v, (dict, list)):
+                _below(v, doc_id, parent, depth, out)
+        return
+    if "t" not in x:
+        for v in x.values():
+            if isinstance(v, (dict, list)):
+                _below(v, doc_id, parent, depth, out)
+        return
+    if depth > DEPTH:
+        raise ValueError("nested too deeply")
+    tag, c = x["t"], x.get("c")
+    if not tag[:1].isupper():
+        raise ValueError(f"unknown tag {tag!r}")
+    me = len(out)
+    if c is None or isinstance(c, str):
+        out.append([doc_id, me, me, parent, depth, tag, c, c[0] if tag == "Header" else None, None, c[2][0] if tag in _LINKS else None])
+        return
+    listed = isinstance(c, list)
+    text = c[1] if tag in _TEXTS and listed else None
+    level = c[0] if tag == "Header" else None
+    ident = (c[1][0] if tag == "Header" else c[0][0] if tag in _NAMED else None) if listed and c else None
+    row = [doc_id, me, me, parent, depth, tag, text, level, ident or None, c[2][0] if tag in _LINKS else None]
+    out.append(row)
+    if isinstance(c, (dict, list)):
+        _below(c, doc_id, me, depth + 1, out)
+    row[2] = len(out) - 1
 
 
 def rows_of(doc_id: int | None, blocks: list[dict[str, Any]]) -> list[list[Any]]:
     """Pre-order rows of a block list."""
     out: list[list[Any]] = []
-
-    def nodes(x: Any) -> Iterator[dict[str, Any]]:
-        if isinstance(x, dict):
-            if "t" in x:
-                yield x
-            else:
-                for v in x.values():
-                    yield from nodes(v)
-        elif isinstance(x, list):
-            for v in x:
-                yield from nodes(v)
-
-    def walk(x: dict[str, Any], parent: int | None, depth: int) -> None:
-        if depth > DEPTH:
-            raise ValueError("nested too deeply")
-        tag, c = x["t"], x.get("c")
-        if not tag[:1].isupper():
-            raise ValueError(f"unknown tag {tag!r}")
-        me = len(out)
-        text = c if isinstance(c, str) else c[1] if tag in ("Code", "CodeBlock", "RawBlock", "RawInline", "Math") and isinstance(c, list) else None
-        level = c[0] if tag == "Header" else None
-        ident = (c[1][0] if tag == "Header" else c[0][0] if tag in ("Div", "Span", "CodeBlock", "Code", "Link", "Image") else None) if isinstance(c, list) and c else None
-        url = c[2][0] if tag in ("Link", "Image") else None
-        out.append([doc_id, me, me, parent, depth, tag, text, level, ident or None, url])
-        if c is not None and not isinstance(c, str):
-            for child in nodes(c):
-                walk(child, me, depth + 1)
-        out[me][2] = len(out) - 1
-
-    for b in nodes(blocks):
-        walk(b, None, 0)
+    if isinstance(blocks, (dict, list)):
+        _below(blocks, doc_id, None, 0, out)
     return out
 
 
 def flatten_json(docs: DataFrame) -> DataFrame:
     """NODES rows of docs (doc_id, text = interchange JSON). A text that is no such JSON is one node with tag Error."""
 
+    kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    names = [x.split()[0] for x in NODES.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch)):
             rows: list[list[Any]] = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     rows += rows_of(d, json.loads(t or "{}").get("blocks", []))
-                except (ValueError, AttributeError, TypeError, IndexError, KeyError) as e:
+                except (ValueError, AttributeError, TypeError, IndexError, KeyError, RecursionError) as e:
                     rows.append([d, 0, 0, None, 0, "Error", str(e)[:200], None, None, None])
-            kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            cols = list(zip(*rows, strict=True)) or [()] * 10
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in NODES.split(", ")])
+            # a text may have many nodes to a byte: what goes back is bounded by rows
+            for a in range(0, len(rows), NODE_ROWS):
+                cols = zip(*rows[a : a + NODE_ROWS], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, NODES)

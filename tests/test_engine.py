@@ -402,3 +402,53 @@ def test_simple_tables_hold_every_row_of_part(spark):
     db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{at}/part.parquet')")
     assert got == sorted(db.execute(entry.oracle_sql()[name]).fetchall())
     assert sum(r[2].count("\n") - 1 for r in got) == spark.read.parquet(f"{at}/part.parquet").count()
+
+
+# ---------------------------------------------------------------- bounded work of Python workers
+
+
+def test_workers_hold_a_bounded_slice_of_a_batch(spark, monkeypatch):
+    import gc
+
+    import pyarrow as pa
+
+    from folioflow import batches
+
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    page = "<p>" + "some words <a href='/u'>and a link</a><br>" * 400 + "</p>"
+    n = 3 * batches.TEXT_BYTES // len(page)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([page] * n)], ["doc_id", "text"])
+    out = list(engine.convert(docs, "html", "json")(iter([batch])))
+    assert gc.isenabled()
+    assert len(out) >= 3 and [k for b in out for k in b.column(0).to_pylist()] == list(range(n))
+    texts = [t for b in out[:1] for t in b.column(1).to_pylist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    nodes = list(interchange.flatten_json(docs)(iter([batch])))
+    assert max(b.num_rows for b in nodes) <= interchange.NODE_ROWS
+    one = len(interchange.rows_of(0, json.loads(texts[0])["blocks"]))
+    assert sum(b.num_rows for b in nodes) == one * len(texts) > interchange.NODE_ROWS
+    assert [b.num_rows for b in batches.slices(batch, limit=1)] == [1] * len(texts)
+
+
+def test_node_rows_leave_nothing_for_the_collector():
+    import gc
+
+    doc = markdown.read("# A\n\n- b *c*\n\n  d\n")
+    gc.collect()
+    gc.disable()
+    try:
+        interchange.rows_of(1, doc["blocks"])
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
+def test_html_reader_counts_has_a_row_for_every_page(spark, tmp_path):
+    rows = [(1, "<p>a <a href='/u'>b</a><br>c</p><h1>x</h1><ul><li>i</li><li>j</li></ul>".replace("'", '"')), (2, None), (3, ""), (4, "<p></p>"), (5, "<script>var x;</script>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES["html_reader_counts"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.execute(f"select {', '.join(got.columns)} from ({catalogue.ORACLE_SQL['html_reader_counts']}) order by page_id").fetchall()
+    assert sorted(map(tuple, got.collect())) == want
