@@ -2,8 +2,9 @@
 
 Every vector is coded as a sum of one full-dimensional codeword from each of several residual codebooks, found by beam
 search. The index keeps codes, the norm of the coded vector and the original. A query scores all rows by table lookups
-(|x|^2 - 2 q.x, with q.codeword computed once). Its shortlist is global: the rows that score at most what the shortlist's last
-row scores among a sample of the whole index, so it does not depend on how rows lie in partitions. It is reranked exactly.
+(|x|^2 - 2 q.x, with q.codeword computed once). Its shortlist is global: the rows that score at most what its last row scores
+among all different codes of the index. That score is found by counting the scores of all codes in bins, so it depends neither
+on a sample nor on how rows lie in partitions. The shortlist is reranked exactly.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from folioflow.llm import common
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors (those with the smallest hashes), about, that the codebooks are fitted on; every row is coded and indexed.
 FIT_ROWS = 8192
-#: A shortlist has about SHORT rows and one in SHARE of the index. It is found from about SAMPLE rows of the index.
-SHORT, SHARE, SAMPLE = 100, 100, 1 << 16
+#: A shortlist has at least SHORT rows (different codes) and one in SHARE of the index.
+SHORT, SHARE = 100, 100
+#: Bins that a pass over the codes counts scores in. A bin that makes a shortlist longer than SLACK times its rows is divided again.
+BINS, SLACK = 512, 1.25
 #: Rows of the index, and queries, that are scored at a time; queries that are broadcast for one pass over the index.
 BLOCK_ROWS, QUERY_ROWS, QUERY_BLOCK = 8192, 128, 1 << 14
 
@@ -100,7 +103,7 @@ def matrix(col: pa.Array, d: int) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, vec: str, n: int, most: int) -> DataFrame:
-    """About `most` of n rows, by the hashes of their vectors."""
+    """About `most` of n rows, by the hashes of their vectors: for fitting the codebooks, nothing else."""
     return rows if n <= most else rows.filter(F.pmod(F.xxhash64(vec), F.lit(1 << 30)) < int(most / n * (1 << 30)))
 
 
@@ -134,27 +137,80 @@ def build(vectors: DataFrame, quantiser: Quantiser, d: int, vec: str = "embeddin
     return common.materialise(spread.mapInArrow(run, "vec_id long, codes binary, norm double, vector array<double>"), "ann-index")
 
 
-def thresholds(index: DataFrame, queries: DataFrame, quantiser: Quantiser, d: int, n: int, k: int) -> DataFrame:
-    """queries (vec_id, vector) with most: the score that a row of their shortlist has at most.
+def different(index: DataFrame) -> DataFrame:
+    """codes, norm of every code of the index, once: copies of a vector are one row of a shortlist."""
+    codes = index.groupBy("codes").agg(F.min("norm").alias("norm"))
+    return common.materialise(codes.repartition(common.partitions(index.sparkSession)), "ann-codes")
 
-    A shortlist of s rows of n ends near the score of rank s * m / n among m sampled rows; equal codes count once.
+
+def place(score: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Bins 1 to BINS of scores between low and high; 0 is what is lower or no number, BINS + 1 what is higher."""
+    x = (score.astype(np.float64) - low) * (BINS / (high - low))
+    return np.nan_to_num(np.clip(np.floor(x) + 1, 0, BINS + 1), nan=0).astype(np.int64)
+
+
+def counted(codes: DataFrame, q: np.ndarray, low: np.ndarray, high: np.ndarray, quantiser: Quantiser, rank: int) -> DataFrame:
+    """The bin between low and high where the rank-th score of each query lies: at (its row in q), bin, n (scores up to its end).
+
+    Every code is scored. A task holds BINS + 2 counts a query and returns them once.
     """
-    rows = sampled(index, "vector", n, SAMPLE).select("codes", "norm").collect()
-    m = len(rows)
-    every = {r.codes: r.norm for r in rows}
-    codes = np.frombuffer(b"".join(every), np.uint8).reshape(len(every), -1).T.astype(np.int64)
-    rank = -(-(SHORT + n // SHARE + k) * m // max(n, 1)) + 1
-    shared = index.sparkSession.sparkContext.broadcast((quantiser, np.ascontiguousarray(codes), np.array(list(every.values())), rank))
+    spark = codes.sparkSession
+    shared = spark.sparkContext.broadcast((q, low, high, quantiser))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quant, codes, norm, rank = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, low, high, quant = shared.value
+        n = np.zeros((len(q), BINS + 2), np.int64)
         for b in batches:
-            for a in range(0, b.num_rows, QUERY_ROWS):
-                part = b.slice(a, QUERY_ROWS)
-                most = [np.inf if rank >= len(norm) else np.partition(scores(codes, norm, t), rank)[rank] for t in quant.tables(matrix(part.column(1), d))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(most, pa.float64())], ["vec_id", "vector", "most"])
+            for a in range(0, b.num_rows, BLOCK_ROWS):
+                p = b.slice(a, BLOCK_ROWS)
+                c = np.frombuffer(b"".join(p.column(0).to_pylist()), np.uint8).reshape(p.num_rows, -1)
+                c, norm = np.ascontiguousarray(c.T.astype(np.int64)), p.column(1).to_numpy()
+                for start in range(0, len(q), QUERY_ROWS):
+                    for i, table in enumerate(quant.tables(q[start : start + QUERY_ROWS]), start):
+                        n[i] += np.bincount(place(scores(c, norm, table), low[i], high[i]), minlength=BINS + 2)
+        for a in range(0, len(q) if n.any() else 0, QUERY_ROWS):
+            part = n[a : a + QUERY_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), pa.array([x.tobytes() for x in part], pa.binary())], ["at", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0) + np.frombuffer(n, np.int64)
+        found = [(i, int(np.searchsorted(up, rank)), up) for i, up in ((i, np.cumsum(n)) for i, n in total.items())]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in found], pa.int64()), pa.array([k for _, k, _ in found], pa.int32()), pa.array([int(up[k]) for _, k, up in found], pa.int64())], ["at", "bin", "n"])
+
+    # no more tasks than cores: each returns counts of all queries
+    few = codes.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(count, "at long, n binary")
+    return few.repartition(common.partitions(spark), "at").mapInArrow(merge, "at long, bin int, n long")
+
 
-    return queries.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, most double")
+def thresholds(codes: DataFrame, q: np.ndarray, quantiser: Quantiser, rank: int) -> np.ndarray:
+    """The score that a row of each query's shortlist has at most: that of the rank-th of all codes, or a little more.
+
+    Scores lie between those of the nearest and the farthest point that a coded vector can be. A pass counts all of them in
+    bins; where the bin of the rank-th makes a shortlist longer than SLACK times its rows, another pass divides that bin.
+    """
+    m, far = codes.agg(F.count("*"), F.max("norm")).first()
+    most = np.full(len(q), np.inf)
+    if m <= rank:
+        return most
+    length, far = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(far)
+    pad = 1e-4 * (length + far) ** 2  # scores are in single precision
+    low, high = np.maximum(length - far, 0) ** 2 - length**2 - pad, (length + far) ** 2 - length**2 + pad
+    todo = np.arange(len(q))
+    while len(todo):
+        again = []
+        for at, k, n in counted(codes, q[todo], low[todo], high[todo], quantiser, rank).collect():
+            i, step = todo[at], (high[todo[at]] - low[todo[at]]) / BINS
+            below, end = low[i] + (k - 1) * step, low[i] + k * step
+            most[i] = np.inf if k > BINS else end + 1e-6 * step
+            if 0 < k <= BINS and n > SLACK * rank and np.nextafter(np.float32(below), np.float32(np.inf)) < np.float32(end):
+                low[i], high[i] = below, end
+                again.append(i)
+        todo = np.array(sorted(again), np.int64)
+    return most
 
 
 class Search:
@@ -179,7 +235,7 @@ class Search:
         codes, norm, x = np.ascontiguousarray(codes[at].T.astype(np.int64)), norm[at], x[at]
         for a in range(0, len(self.ids), QUERY_ROWS):
             for i, table in enumerate(self.quantiser.tables(self.q[a : a + QUERY_ROWS]), a):
-                near = np.flatnonzero(scores(codes, norm, table) <= self.most[i])
+                near = np.flatnonzero(~(scores(codes, norm, table) > self.most[i]))
                 diff = x[near] - self.q[i]
                 exact = np.sqrt(np.einsum("ij,ij->i", diff, diff))
                 n = size[near]
@@ -199,9 +255,11 @@ def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser, d: int, n
     """
     spark = index.sparkSession
     results: list[DataFrame] = []
+    codes, rank = different(index), SHORT + n // SHARE + k
 
     def one(rows: list, last: bool) -> None:
-        ids, q, most = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(-1, d), np.array([r[2] for r in rows])
+        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(-1, d)
+        most = thresholds(codes, q, quantiser, rank)
         shared = spark.sparkContext.broadcast((ids, q, most, quantiser))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +279,7 @@ def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser, d: int, n
         results.append(best if last and not results else common.materialise(best, "ann-found"))
 
     rows: list = []
-    ready = common.materialise(thresholds(index, queries, quantiser, d, n, k), "ann-queries", clean=False)
+    ready = common.materialise(queries.select("vec_id", "vector"), "ann-queries", clean=False)
     for r in ready.toLocalIterator():
         if len(rows) == QUERY_BLOCK:
             one(rows, False)

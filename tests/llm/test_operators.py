@@ -534,6 +534,32 @@ def test_recall_is_the_same_for_any_partitions(spark):
     assert hit / 200 >= 0.9
 
 
+def test_shortlists_come_from_the_whole_index(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 64, raising=False)  # a bound on rows that shortlists were found from
+    rng = np.random.default_rng(3)
+    # few different vectors, many copies: no row of them may be sampled
+    few = [(i, [float(i % 3 + 1), 1.0]) for i in range(3000)]
+    got = ann.nearest(spark.createDataFrame(few, "vec_id long, embedding array<float>"), 1000).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(q, k + 1, v) for q in (0, 1000, 2000) for k, v in enumerate([v for v in range(q % 3, 60, 3) if v != q][:10])]
+    # a far vector makes bins of scores wide: those that hold too many are divided
+    x = rng.normal(size=(4000, 8)).astype(np.float32)
+    x[7] = 1e4
+    x[100:2500] = x[1]
+    good = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    quantiser, d, n = ann.fit(good)
+    index = ann.build(good, quantiser, d)
+    codes = ann.different(index)
+    every = codes.collect()
+    assert len(every) == len({r.codes for r in index.select("codes").collect()})
+    q = x[[0, 7, 2600, 3000]].astype(np.float64)
+    c = np.array([np.frombuffer(r.codes, np.uint8) for r in every]).T.astype(np.int64)
+    norm = np.array([r.norm for r in every])
+    for rank in (1, 60, 150, len(every) + 1):
+        for most, table in zip(ann.thresholds(codes, q, quantiser, rank), quantiser.tables(q)):
+            held = (ann.scores(c, norm, table) <= most).sum()
+            assert min(rank, len(every)) <= held <= max(ann.SLACK * rank, rank + 1) or rank > len(every)
+
+
 # ---------------------------------------------------------------- shared helpers
 
 
