@@ -7,7 +7,7 @@ import string
 
 import numpy as np
 
-#: Distinct chunks that a worker remembers before it starts anew (bounds its memory to some 200 MB).
+#: Distinct chunks that a worker remembers before it keeps only those just used (bounds its memory to some 200 MB).
 CACHE = 800_000
 #: Bytes of text that are encoded at a time.
 CHUNK = 2 << 20
@@ -74,27 +74,25 @@ class Encoder:
         return out
 
     def learn(self, new: set[str]) -> None:
+        """Adds the ids of chunks that are not known; letters go through the library once, whatever punctuation follows them."""
         known = self.known
-        cores: dict[str, bytes] = {}
-        plain = []
+        cores: set[str] = set()
+        tailed = []
         for w in new:
             core = w.rstrip(PUNCTUATION)
-            if core.isalpha():
-                plain.append(w)
-                cores[core] = b""
-            else:
+            if not core.isalpha():
                 known[w] = self.one(w)
+                continue
+            if core not in known:
+                cores.add(core)
+            if len(core) < len(w):
+                tailed.append((w, core, w[len(core) :]))
         names = list(cores)
-        cores.update(zip(names, self.letters(names), strict=True))
-        for w in plain:
-            core = w.rstrip(PUNCTUATION)
-            if len(core) == len(w):
-                known[w] = cores[core]
-            else:
-                tail = w[len(core) :]
-                if tail not in known:
-                    known[tail] = self.one(tail)
-                known[w] = cores[core] + known[tail]
+        known.update(zip(names, self.letters(names), strict=True))
+        for w, core, tail in tailed:
+            if tail not in known:
+                known[tail] = self.one(tail)
+            known[w] = known[core] + known[tail]
 
     def ids(self, texts: list[str | None], last: int | None = None) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype; last: an id to append to each."""
@@ -102,12 +100,11 @@ class Encoder:
         if not self.split:
             return [self.one(t or "") + tail for t in texts]
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        new: set[str] = set()
+        words: set[str] = set()
         for p in parts:
-            new.update(p)
-        new.difference_update(self.known)
-        self.learn(new)
+            words.update(p)
+        if len(self.known) > CACHE:  # what this chunk of text uses stays: the frequent words do
+            self.known = {"": b""} | {w: self.known[w] for w in words if w in self.known}
+        self.learn(words.difference(self.known))  # difference(), as difference_update() would walk through all that is known
         get = self.known.__getitem__
         return [b"".join(map(get, p)) + tail for p in parts]

@@ -53,6 +53,24 @@ def test_encoder_equals_library():
         assert got == [*enc.tok.encode(t or "", add_special_tokens=False).ids, 2], t
 
 
+def test_encoder_asks_the_library_once_for_letters(monkeypatch):
+    """Punctuation behind known letters, or a full cache, sends no letters of frequent words through the library again."""
+    enc = tokens.Encoder(tokens.default_path())
+    asked, letters = [], enc.letters
+    monkeypatch.setattr(enc, "letters", lambda words: asked.extend(words) or letters(words))
+
+    def new(text):
+        asked.clear()
+        assert np.frombuffer(enc.ids([text])[0], enc.dtype).tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+        return sorted(asked)
+
+    assert new("alpha beta, gamma!\nÉté... été") == ["alpha", "beta", "gamma", "Été", "été"]
+    assert new("alpha, beta. gamma delta; 12, ,, alpha") == ["delta"]
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    assert new("alpha epsilon, beta") == ["epsilon"]
+    assert "gamma" not in enc.known
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 12, 16, 17, 32])
 def test_bit_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000, dtype=np.uint64).astype(np.uint32)
