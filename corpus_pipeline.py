@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from folioflow.llm import common, decontam, ngramjoin, packing, pii, toxicity
 
 
+#: Words that a worker's tokenizer remembers: half of tokens.CACHE, as executors have run all stages before.
+WORDS = 400_000
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """docs under names that no operator uses (doc_id and text stay), and these names."""
     names = [c if c in ("doc_id", "text") else f"_own_{k}" for k, c in enumerate(docs.columns)]
@@ -72,7 +76,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of every row (see packing.SCHEMA); other columns end here."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

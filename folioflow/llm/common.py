@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -216,8 +216,23 @@ def chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield a, len(sizes)
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of a batch with at most `limit` bytes of text each (a longer text is alone), and their texts."""
+#: What operators remember in a worker from task to task: a name, and the call that forgets it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(what: str, let_go: Callable[[], None]) -> None:
+    """Names a memory that a worker keeps only as long as text_chunks is called with keep=what."""
+    _remembered[what] = let_go
+
+
+def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES, keep: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with at most `limit` bytes of text each (a longer text is alone), and their texts.
+
+    A worker serves the tasks of all operators in turn: what others than `keep` remember in it is forgotten first.
+    """
+    for what, let_go in _remembered.items():
+        if what != keep:
+            let_go()
     col = batch.column(batch.schema.get_field_index(column))
     import pyarrow.compute as pc
 

@@ -122,13 +122,13 @@ def rows_of(windows: list, base: int, dtype: np.dtype, docs: list[tuple[int | No
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, cache: int | None = None) -> DataFrame:
     """Pieces of all documents (see SCHEMA); sequence_id is unique over all partitions.
 
     Null text counts as empty (its end id alone is packed); a null doc_id is kept as null; repeated rows are packed as
     often as they occur; a text of any length is cut into windows; an empty table gives no rows; any other columns are
     ignored. Padding: a window whose pieces do not add up to its tier is padded to the longest tier; there is at most one
-    such among the rests of REST_TASKS tasks, however the documents lie in partitions.
+    such among the rests of REST_TASKS tasks, however the documents lie in partitions. cache: see tokens.CACHE.
     """
     tokenizer = tokenizer or tokens.default_path()
     rest = [("part", pa.int64()), ("ids", pa.binary())]
@@ -156,8 +156,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers:
             return rows
 
         for b in batches:
-            for part_rows, texts in common.text_chunks(b, limit=tokens.CHUNK):
-                for key, ids in zip(part_rows.column(0).to_pylist(), enc.ids(texts, end_id), strict=True):
+            for part_rows, texts in common.text_chunks(b, limit=tokens.CHUNK, keep=tokens.KEEP):
+                for key, ids in zip(part_rows.column(0).to_pylist(), enc.ids(texts, end_id, cache), strict=True):
                     held.append((key, ids, 0, len(ids) // w))
                     size += len(ids) // w
                 if size >= BUCKET_TOKENS:

@@ -129,7 +129,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, bounds: list[
         enc = tokens.encoder(tokenizer)
         cut = np.array(bounds or [], float)
         for batch in batches:
-            for part, texts in common.text_chunks(batch, limit=tokens.CHUNK):
+            for part, texts in common.text_chunks(batch, limit=tokens.CHUNK, keep=tokens.KEEP):
                 ids = enc.ids(texts, end_id)
                 key = part.column(0)
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // enc.dtype.itemsize

@@ -7,6 +7,8 @@ import string
 
 import numpy as np
 
+from folioflow.llm import common
+
 #: Distinct chunks that a worker remembers before it keeps only those just used (bounds its memory to some 200 MB).
 CACHE = 800_000
 #: Bytes of text that are encoded at a time.
@@ -29,6 +31,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Empties the encoders' caches (an encoder goes on without) and hands free memory back."""
+    import pyarrow as pa
+
+    full = [e for e in _encoders.values() if len(e.known) > 1]
+    for e in full:
+        e.known = {"": b""}
+    if full:
+        pa.default_memory_pool().release_unused()
+
+
+#: Under this name text_chunks keeps the caches.
+KEEP = "tokens"
+common.remember(KEEP, forget)
+
+
 class Encoder:
     """ids(texts) equals Tokenizer.encode(text, add_special_tokens=False).ids of each text.
 
@@ -94,8 +112,8 @@ class Encoder:
                 known[tail] = self.one(tail)
             known[w] = known[core] + known[tail]
 
-    def ids(self, texts: list[str | None], last: int | None = None) -> list[bytes]:
-        """The ids of each text as little-endian bytes of self.dtype; last: an id to append to each."""
+    def ids(self, texts: list[str | None], last: int | None = None, cache: int | None = None) -> list[bytes]:
+        """The ids of each text as little-endian bytes of self.dtype; last: an id to append to each; cache: instead of CACHE."""
         tail = b"" if last is None else np.array([last], self.dtype).tobytes()
         if not self.split:
             return [self.one(t or "") + tail for t in texts]
@@ -103,7 +121,7 @@ class Encoder:
         words: set[str] = set()
         for p in parts:
             words.update(p)
-        if len(self.known) > CACHE:  # what this chunk of text uses stays: the frequent words do
+        if len(self.known) > (CACHE if cache is None else cache):  # what this chunk of text uses stays: the frequent words do
             self.known = {"": b""} | {w: self.known[w] for w in words if w in self.known}
         self.learn(words.difference(self.known))  # difference(), as difference_update() would walk through all that is known
         get = self.known.__getitem__

@@ -53,6 +53,19 @@ def test_encoder_equals_library():
         assert got == [*enc.tok.encode(t or "", add_special_tokens=False).ids, 2], t
 
 
+def test_a_worker_keeps_the_cache_of_one_operator():
+    """The tokenizer's cache (up to some 200 MB a worker) goes when another operator's task uses the worker."""
+    import pyarrow as pa
+
+    enc = tokens.encoder(tokens.default_path())
+    batch = pa.RecordBatch.from_pydict({"text": ["one two", None]})
+    for _, texts in common.text_chunks(batch, keep=tokens.KEEP):
+        want = enc.ids(texts)
+    assert list(common.text_chunks(batch, keep=tokens.KEEP)) and "two" in enc.known
+    assert [t for _, t in common.text_chunks(batch)] == [["one two", None]] and list(enc.known) == [""]
+    assert enc.ids(["one two", None]) == want
+
+
 def test_encoder_asks_the_library_once_for_letters(monkeypatch):
     """Punctuation behind known letters, or a full cache, sends no letters of frequent words through the library again."""
     enc = tokens.Encoder(tokens.default_path())
