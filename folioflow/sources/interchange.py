@@ -1,19 +1,17 @@
-"""Interchange JSON as node rows, and back. A node row: doc_id, nid (pre-order), last (end of its subtree), parent, depth, tag, text."""
+"""Interchange JSON as node rows, and back. A node row: doc_id, nid (pre-order), last (end of its subtree), parent, depth, tag, text; level of a header, items of a list."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folioflow import deep
 from folioflow.batches import slices
 
-NODES = "doc_id long, nid int, last int, parent int, depth int, tag string, text string, level int, id string, url string"
-#: Nesting beyond this is refused, as a guard for stacks.
-DEPTH = 128
+NODES = "doc_id long, nid int, last int, parent int, depth int, tag string, text string, level int, id string, url string, items int"
 #: Node rows of a batch that goes back to the JVM.
 NODE_ROWS = 1 << 15
 #: Tags with a text of their own beside their attributes, with an identifier, with an address.
@@ -32,20 +30,19 @@ def _below(x: Any, doc_id: int | None, parent: int | None, depth: int, out: list
             if isinstance(v, (dict, list)):
                 _below(v, doc_id, parent, depth, out)
         return
-    if depth > DEPTH:
-        raise ValueError("nested too deeply")
     tag, c = x["t"], x.get("c")
     if not tag[:1].isupper():
         raise ValueError(f"unknown tag {tag!r}")
     me = len(out)
     if c is None or isinstance(c, str):
-        out.append([doc_id, me, me, parent, depth, tag, c, c[0] if tag == "Header" else None, None, c[2][0] if tag in _LINKS else None])
+        out.append([doc_id, me, me, parent, depth, tag, c, c[0] if tag == "Header" else None, None, c[2][0] if tag in _LINKS else None, None])
         return
     listed = isinstance(c, list)
     text = c[1] if tag in _TEXTS and listed else None
     level = c[0] if tag == "Header" else None
     ident = (c[1][0] if tag == "Header" else c[0][0] if tag in _NAMED else None) if listed and c else None
-    row = [doc_id, me, me, parent, depth, tag, text, level, ident or None, c[2][0] if tag in _LINKS else None]
+    items = (len(c) if tag == "BulletList" else len(c[1]) if tag == "OrderedList" else None) if listed else None
+    row = [doc_id, me, me, parent, depth, tag, text, level, ident or None, c[2][0] if tag in _LINKS else None, items]
     out.append(row)
     if isinstance(c, (dict, list)):
         _below(c, doc_id, me, depth + 1, out)
@@ -63,7 +60,7 @@ def rows_of(doc_id: int | None, blocks: list[dict[str, Any]]) -> list[list[Any]]
 def flatten_json(docs: DataFrame) -> DataFrame:
     """NODES rows of docs (doc_id, text = interchange JSON). A text that is no such JSON is one node with tag Error."""
 
-    kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+    kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
     names = [x.split()[0] for x in NODES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +68,12 @@ def flatten_json(docs: DataFrame) -> DataFrame:
             rows: list[list[Any]] = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += rows_of(d, json.loads(t or "{}").get("blocks", []))
+                    try:
+                        rows += rows_of(d, deep.loads(t or "{}").get("blocks", []))
+                    except RecursionError:
+                        rows += deep.on_deep_stack(lambda: rows_of(d, deep.loads(t).get("blocks", [])), len(t))
                 except (ValueError, AttributeError, TypeError, IndexError, KeyError, RecursionError) as e:
-                    rows.append([d, 0, 0, None, 0, "Error", str(e)[:200], None, None, None])
+                    rows.append([d, 0, 0, None, 0, "Error", str(e)[:200], None, None, None, None])
             # a text may have many nodes to a byte: what goes back is bounded by rows
             for a in range(0, len(rows), NODE_ROWS):
                 cols = zip(*rows[a : a + NODE_ROWS], strict=True)

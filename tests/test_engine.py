@@ -454,6 +454,31 @@ def test_html_reader_counts_has_a_row_for_every_page(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_html_reader_counts_at_any_depth(spark, tmp_path):
+    unclosed = lambda n: "<p><b>x <a href=\"/u\">y</a><br>z" * n
+    rows = [(1, unclosed(129)), (2, unclosed(600)), (3, "<ul><li>a" * 700 + "<h1>t</h1>"), (4, "<div>" * 20000 + unclosed(1)), (5, "<pre>" + "<i>" * 12000 + "c</pre>" + unclosed(2)), (6, "<ul><li>a</li><li>b<ol><li>c</li></ol></li></ul>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.QUERIES["html_reader_counts"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = db.execute(f"select {', '.join(got.columns)} from ({catalogue.ORACLE_SQL['html_reader_counts']}) order by page_id").fetchall()
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_json_of_any_depth():
+    from folioflow import deep
+
+    x = {"a": [1, None, "é\"\n", {}, [], (True, 2.5)], "b": {"c": "d"}}
+    for _ in range(30000):
+        x = {"t": "Emph", "c": [x, "y"], "e": {}}
+    s = deep.dumps(x)
+    assert deep.dumps(deep.loads(s)) == s and s.count("Emph") == 30000
+    inner = s[s.index('{"a"') : s.index('"d"}}') + 5]
+    assert json.loads(inner) == {"a": [1, None, "é\"\n", {}, [], [True, 2.5]], "b": {"c": "d"}}
+    with pytest.raises(ValueError):
+        deep.loads("[" * 30000)
+
+
 def test_alpha_numerals_of_any_key(spark, tmp_path):
     keys = [0, 1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 1000000, 8999999, 217180147158, 217180147159, 2**53 + 1, 2**63 - 1, None]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
