@@ -16,13 +16,21 @@ NODES = "doc_id long, nid int, last int, parent int, depth int, tag string, text
 NODE_ROWS = 1 << 15
 #: Tags with a text of their own beside their attributes, with an identifier, with an address.
 _TEXTS, _NAMED, _LINKS = frozenset("Code CodeBlock RawBlock RawInline Math".split()), frozenset("Div Span CodeBlock Code Link Image".split()), frozenset(("Link", "Image"))
+_WORDS = frozenset("Str Space SoftBreak LineBreak".split())
 
 
 def _below(x: Any, doc_id: int | None, parent: int | None, depth: int, out: list[list[Any]]) -> None:
     """Appends the rows of all nodes in x. No nested function: one that calls itself would keep `out` until the next collection."""
     if isinstance(x, list):
         for v in x:
-            if isinstance(v, (dict, list)):
+            if isinstance(v, dict):
+                tag, c = v.get("t"), v.get("c")
+                if tag in _WORDS and (c is None or isinstance(c, str)):  # most nodes: no call of their own
+                    me = len(out)
+                    out.append([doc_id, me, me, parent, depth, tag, c, None, None, None, None])
+                else:
+                    _below(v, doc_id, parent, depth, out)
+            elif isinstance(v, list):
                 _below(v, doc_id, parent, depth, out)
         return
     if "t" not in x:
@@ -57,11 +65,12 @@ def rows_of(doc_id: int | None, blocks: list[dict[str, Any]]) -> list[list[Any]]
     return out
 
 
-def flatten_json(docs: DataFrame) -> DataFrame:
-    """NODES rows of docs (doc_id, text = interchange JSON). A text that is no such JSON is one node with tag Error."""
+def flatten_json(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """NODES rows of docs (doc_id, text = interchange JSON), or some of their columns. A text that is no such JSON is one node with tag Error."""
 
     kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
     names = [x.split()[0] for x in NODES.split(", ")]
+    kept = [names.index(x) for x in columns or names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices(batch)):
@@ -76,7 +85,7 @@ def flatten_json(docs: DataFrame) -> DataFrame:
                     rows.append([d, 0, 0, None, 0, "Error", str(e)[:200], None, None, None, None])
             # a text may have many nodes to a byte: what goes back is bounded by rows
             for a in range(0, len(rows), NODE_ROWS):
-                cols = zip(*rows[a : a + NODE_ROWS], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                part = rows[a : a + NODE_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kinds[k]) for k in kept], [names[k] for k in kept])
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, NODES)
+    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, ", ".join(NODES.split(", ")[k] for k in kept))
