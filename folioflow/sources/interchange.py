@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from typing import Any
 
@@ -72,20 +73,27 @@ def flatten_json(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     names = [x.split()[0] for x in NODES.split(", ")]
     kept = [names.index(x) for x in columns or names]
 
+    def part(b: pa.RecordBatch) -> list[pa.RecordBatch]:
+        rows: list[list[Any]] = []
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            try:
+                try:
+                    rows += rows_of(d, deep.loads(t or "{}").get("blocks", []))
+                except RecursionError:
+                    rows += deep.on_deep_stack(lambda: rows_of(d, deep.loads(t).get("blocks", [])), len(t))
+            except (ValueError, AttributeError, TypeError, IndexError, KeyError, RecursionError) as e:
+                rows.append([d, 0, 0, None, 0, "Error", str(e)[:200], None, None, None, None])
+        # a text may have many nodes to a byte: what goes back at once is bounded by rows
+        cut = [rows[a : a + NODE_ROWS] for a in range(0, len(rows), NODE_ROWS)]
+        return [pa.RecordBatch.from_arrays([pa.array([r[k] for r in c], kinds[k]) for k in kept], [names[k] for k in kept]) for c in cut]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for batch in batches for s in slices(batch)):
-            rows: list[list[Any]] = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    try:
-                        rows += rows_of(d, deep.loads(t or "{}").get("blocks", []))
-                    except RecursionError:
-                        rows += deep.on_deep_stack(lambda: rows_of(d, deep.loads(t).get("blocks", [])), len(t))
-                except (ValueError, AttributeError, TypeError, IndexError, KeyError, RecursionError) as e:
-                    rows.append([d, 0, 0, None, 0, "Error", str(e)[:200], None, None, None, None])
-            # a text may have many nodes to a byte: what goes back is bounded by rows
-            for a in range(0, len(rows), NODE_ROWS):
-                part = rows[a : a + NODE_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kinds[k]) for k in kept], [names[k] for k in kept])
+            gc.disable()  # trees and rows hold no cycles
+            try:
+                made = part(b)
+            finally:
+                gc.enable()
+            yield from made
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, ", ".join(NODES.split(", ")[k] for k in kept))
